@@ -50,7 +50,7 @@ SQL: dict[str, str] = {}
 # --- events as one stream per key -------------------------------------------------
 SQL["ev"] = """
     SELECT event_id AS id, user_id % 10 AS key, user_id AS usr, epoch_us(ts) AS t,
-           event_type AS kind, value / 7 AS val,
+           event_type AS kind, value / 6.1803398875 AS val,
            CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k
     FROM events"""
 
@@ -60,7 +60,7 @@ def ev(spark, d):
     return e.select(
         F.col("event_id").alias("id"), (F.col("user_id") % 10).alias("key"), F.col("user_id").alias("usr"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("event_type").alias("kind"),
-        (F.col("value") / 7).alias("val"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+        (F.col("value") / 6.1803398875).alias("val"), F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
 # --- intervals from order date to ship date --------------------------------------
@@ -82,7 +82,7 @@ def iv(spark, d):
 # --- grouped targets: fit rows before 2000, validation rows after -------------------
 SQL["gr"] = """
     SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag AS site, l_linestatus AS rwy,
-           l_partkey AS stand, l_suppkey AS sup, l_extendedprice / 7 AS y, l_quantity AS qty,
+           l_partkey AS stand, l_suppkey AS sup, l_extendedprice / 6.1803398875 AS y, l_quantity AS qty,
            year(l_shipdate) AS yr, month(l_shipdate) AS mon, year(l_shipdate) < 2000 AS fit
     FROM lineitem"""
 
@@ -91,7 +91,7 @@ def gr(spark, d):
     return table(spark, d, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_returnflag").alias("site"),
         F.col("l_linestatus").alias("rwy"), F.col("l_partkey").alias("stand"), F.col("l_suppkey").alias("sup"),
-        (F.col("l_extendedprice") / 7).alias("y"), F.col("l_quantity").alias("qty"),
+        (F.col("l_extendedprice") / 6.1803398875).alias("y"), F.col("l_quantity").alias("qty"),
         F.year("l_shipdate").cast("long").alias("yr"), F.month("l_shipdate").cast("long").alias("mon"),
         (F.year("l_shipdate") < 2000).alias("fit"))
 

@@ -29,10 +29,14 @@ def scan_evolving(spark: SparkSession, paths: str | Sequence[str], optional: Map
     return df.withColumns(missing) if missing else df
 
 
-def scan_csv_lenient(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """All-text CSV with a header; rows that do not fit the columns are left out."""
+def scan_csv_lenient(spark: SparkSession, path: str, columns: Sequence[str], header: bool = True) -> DataFrame:
+    """All-text CSV; rows that do not fit the columns are left out.
+
+    A malformed row is only seen if every column is parsed, so pruning is off for this scan.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.csv(path, schema=schema, header=True, mode="DROPMALFORMED", enforceSchema=True)
+    return (spark.read.option("columnPruning", "false")
+            .csv(path, schema=schema, header=header, mode="DROPMALFORMED", enforceSchema=True))
 
 
 def audit_columns(df: DataFrame, tokens: Sequence[str], where: Column | None = None) -> DataFrame:
