@@ -19,13 +19,13 @@ def _spread(right: DataFrame, at: Column, width: float, out: str) -> DataFrame:
 
 
 def match_any_key(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, int]], right_key: str,
-                  on: Sequence[str], near: tuple[str, Column, float] | None = None) -> DataFrame:
-    """Pairs that agree on `on` and on any of the left keys, tagged with the smallest kind.
+                  on: Sequence[str], lt: str, at: Column, width: float) -> DataFrame:
+    """Pairs that agree on `on` and on any of the left keys, with times `lt` and `at` at most
+    `width` apart, tagged with the smallest kind.
 
     Each left row stands once per *different* key it has, so one equi join answers all keys and a
-    pair appears once.  `near` = (left time, right time, width) adds the slot of time to the join:
-    it keeps every pair whose times differ by at most `width`, and spreads a key that many rows
-    share over time instead of pairing them all.
+    pair appears once.  The slot of time is part of the join key: a key that many rows share is
+    spread over time and never paired as a whole.
     """
     items, earlier = [], []
     for column, kind in keys:
@@ -36,14 +36,11 @@ def match_any_key(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, i
         earlier.append(column)
     rows = left.withColumn("_k", F.explode(F.array_compact(F.array(*items)))).select(
         *left.columns, F.col("_k.key").alias("_key"), F.col("_k.kind").alias("kind"))
-    other = right.where(F.col(right_key).isNotNull()).withColumn("_key", F.col(right_key))
-    by = [*on, "_key"]
-    if near:
-        lt, at, width = near
-        rows = rows.withColumn("_slot", _slot(F.col(lt), width))
-        other = _spread(other, at, width, "_slot")
-        by.append("_slot")
-    return rows.join(other, by).drop("_key", "_slot")
+    rows = rows.withColumn("_slot", _slot(F.col(lt), width))
+    held = right.where(F.col(right_key).isNotNull()).withColumns({"_key": F.col(right_key), "_at": at})
+    other = _spread(held, F.col("_at"), width, "_slot")
+    return (rows.join(other, [*on, "_key", "_slot"]).where(F.abs(F.col("_at") - F.col(lt)) <= width)
+            .drop("_key", "_slot", "_at"))
 
 
 def within_reach(pairs: DataFrame, lt: str, rt: str, last: str, tol: float = 180, after: float = 360,

@@ -38,13 +38,13 @@ def prefix_map(dep: DataFrame) -> DataFrame:
     return groups.code_map(coded, "ia", "ic")
 
 
-def with_guesses(dep: DataFrame, literal_fallback: bool = True) -> DataFrame:
-    """Adds ic (prefix) and cs_guess.
+def with_guesses(dep: DataFrame, literal_fallback: bool = True, learn_from: DataFrame | None = None) -> DataFrame:
+    """Adds ic (prefix) and cs_guess, by prefixes learned from `learn_from` or from `dep` itself.
 
     An extraction without a match is '' and not null, so with `literal_fallback` the flight number's
     own prefix is only used where there is no callsign at all.
     """
-    pm = prefix_map(dep).withColumnRenamed("ic", "_ic")
+    pm = prefix_map(dep if learn_from is None else learn_from).withColumnRenamed("ic", "_ic")
     own, from_flight = S.key_part("cs", S.ALPHA_PREFIX), S.key_part("flt", S.ALPHA_PREFIX)
     if not literal_fallback:
         own = F.nullif(own, F.lit(""))
@@ -54,18 +54,18 @@ def with_guesses(dep: DataFrame, literal_fallback: bool = True) -> DataFrame:
 
 
 def match_traces(dep: DataFrame, seg: DataFrame, tol: float = 180, after: float = 360, near: float = 90,
-                 width: float = 600) -> DataFrame:
+                 width: float = 600, learn_from: DataFrame | None = None) -> DataFrame:
     """The accepted segment of each departure.
 
     Departures: id, site, cs, flt, t_off. Segments: seg_id, site, callsign, t_first_air, t_last_ground
     and whatever is to be carried. Kinds: 1 callsign, 2 flight number as callsign, 3 guessed callsign,
     4 prefix and lift-off within `near` seconds, accepted only if it is the only one.
     """
-    known = with_guesses(dep).select("id", "site", "cs", "flt", "cs_guess", "ic", "t_off")
+    known = with_guesses(dep, learn_from=learn_from).select("id", "site", "cs", "flt", "cs_guess", "ic", "t_off")
     held = seg.withColumn("seg_cs", S.normalise("callsign")).where(F.col("seg_cs").isNotNull())
     anchor = F.coalesce("t_first_air", "t_last_ground")
     exact = match.match_any_key(known, held, [("cs", 1), ("flt", 2), ("cs_guess", 3)], "seg_cs", ["site"],
-                                near=("t_off", anchor, max(width, tol, after)))
+                                "t_off", anchor, max(width, tol, after))
     exact = match.within_reach(exact, "t_off", "t_first_air", "t_last_ground", tol, after)
     by_prefix = match.match_bucketed(
         known.where(F.col("ic") != ""), held.withColumn("ic", S.key_part("seg_cs", S.ALPHA_PREFIX)), ["site", "ic"],
@@ -124,7 +124,7 @@ def witness_report(dep: DataFrame, seg: DataFrame, far: float = 600, tol: float
     """
     pairs = match.within_reach(
         match.match_any_key(dep, seg.withColumn("seg_cs", S.normalise("callsign")), [("cs", 1)], "seg_cs", ["site"],
-                            near=("t_off", F.coalesce("t_first_air", "t_last_ground"), 600)),
+                            "t_off", F.coalesce("t_first_air", "t_last_ground"), 600),
         "t_off", "t_first_air", "t_last_ground")
     cols = ["id", "seg_id", "kind", "dist", "t_first_ground", "t_first_moving"]
     m = match.accept(pairs.select(cols), "id", "seg_id").select("id", "t_first_ground", "t_first_moving", F.lit(True).alias("hit"))
@@ -157,3 +157,14 @@ def witness_report(dep: DataFrame, seg: DataFrame, far: float = 600, tol: float
         as_pred(F.col("t_first_ground")).alias("rmse_firstobs"),
         as_pred(F.least("t_ref", "t_first_moving")).alias("rmse_earlier"))
     return {"coverage": coverage, "accuracy": accuracy, "far": off, "unmatched": unmatched, "headline": headline}
+
+
+def key_precision(dep: DataFrame, seg: DataFrame) -> DataFrame:
+    """(kind, n, precision): departures whose callsign is known are matched with it hidden, and the
+    found segment's callsign is compared with it."""
+    known = dep.where(F.col("cs").isNotNull())
+    blind = known.withColumn("cs", F.lit(None).cast("string"))
+    found = match_traces(blind, seg, learn_from=dep).select("id", "kind", S.normalise("callsign").alias("found"))
+    right = F.when(F.col("found") == F.col("cs"), 1.0).otherwise(0.0)
+    return (found.join(known.select("id", "cs"), "id").groupBy("kind")
+            .agg(F.count(F.lit(1)).alias("n"), F.avg(right).alias("precision")))
