@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from rampwise.bindings import columns, frames, jobs, matching, scoring  # noqa: F401
+from rampwise.bindings import columns, frames, jobs, learning, matching, scoring  # noqa: F401
 from rampwise.bindings.registry import ORACLES, QUERIES  # noqa: F401

@@ -64,9 +64,6 @@ def ag2(spark, d):
 
 CAPS = {"mean": None, "cap5000": 5000.0, "cap8000": 8000.0, "cap11000": 11_000.0}
 _CAPPED = {n: "y" if c is None else f"least(y, {c})" for n, c in CAPS.items()}
-SQL["caps"] = "SELECT v.y, v.site, " + ", ".join(
-    f"coalesce((SELECT p FROM (SELECT 1) x LEFT JOIN k{n}3 k ON k.site = v.site AND k.stand = v.stand AND k.rwy = v.rwy), k{n}2.p, k{n}1.p, 0) AS {n}"
-    for n in CAPS) + " FROM gv v"
 for _n, _e in _CAPPED.items():
     SQL.update(_levels(f"k{_n}", _e, "gf"))
 SQL["caps"] = ("SELECT v.y, v.site, " + ", ".join(f"coalesce(k{n}3.p, k{n}2.p, k{n}1.p) AS {n}" for n in CAPS)
