@@ -182,7 +182,8 @@ def wn14(spark, d):
     SELECT usr AS entity, seq, first_value(callsign IGNORE NULLS) OVER (
         PARTITION BY usr ORDER BY t ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM pt""")
 def wn15(spark, d):
-    return segments.later_name(_points(spark, d)).select("entity", "seq", "later")
+    p = _points(spark, d)
+    return segments.later_name(p.select("entity", "t", "seq"), p).select("entity", "seq", "later")
 
 
 @bind("wn16_motion", uses=RUNS + " moved", sql="""

@@ -1,44 +1,50 @@
-"""As-of joins: the latest right row at or before a left row."""
+"""As-of joins: the latest right row at or before a left row, and the next one after it."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rampwise.functions.clock import DAY, micros, slot_start
-from rampwise.operators.scan import PAST, carry
+from rampwise.functions.clock import DAY, micros
+from rampwise.operators.frames import Measure, Running, instant_frames
+
+
+def _search(left: DataFrame, right: DataFrame, keys: Sequence[str], t: str, hit: str, exclusive: bool, form: str,
+            slot: int) -> DataFrame:
+    """(keys, t, found): the largest `hit` over the key's instants up to each left instant."""
+    have = right.select(*keys, t, hit, F.lit(False).alias("_ask"))
+    ask = left.select(*keys, t, F.lit(None).cast(right.schema[hit].dataType).alias(hit), F.lit(True).alias("_ask"))
+    return instant_frames(have.unionByName(ask), keys, t, [Measure(hit, F.col(hit), "max")],
+                          running=[Running("found", hit, exclusive)], asks=F.col("_ask"), form=form, slot=slot)
 
 
 def asof_left(left: DataFrame, right: DataFrame, keys: Sequence[str], lt: str, rt: str,
-              bring: Sequence[str], tie: str | None = None, form: str = "scaled") -> DataFrame:
+              bring: Sequence[str], tie: str | None = None, form: str = "scaled", slot: int = DAY) -> DataFrame:
     """Every left row plus `bring` and `asof_t` (microseconds) of its latest right row.
 
-    Right rows at one instant are settled first: the largest `tie` wins.  The search then runs
-    over distinct instants of (key, day); a day without a match takes the last one of the days
-    before it from a table with one row per key and day.
+    Of right rows at one instant the largest `tie` wins.  Only distinct instants are searched; the answer
+    is joined to the left rows.
     """
-    hit = F.struct(F.col("t").alias("asof_t"), *[F.col(c) for c in bring])
-    tie_col = F.col(tie) if tie else F.struct(*[F.col(c) for c in bring])
-    have = right.withColumn("t", micros(right, rt)).where(F.col("t").isNotNull())
-    seek = left.withColumn("t", micros(left, lt))
-    for k in keys:
-        have = have.where(F.col(k).isNotNull())
-    known = have.groupBy(*keys, "t").agg(F.max_by(hit, tie_col).alias("hit"))
-    wanted = seek.select(*keys, "t").where(F.col("t").isNotNull())
-    for k in keys:
-        wanted = wanted.where(F.col(k).isNotNull())
-    stream = (known.withColumn("ask", F.lit(False))
-              .unionByName(wanted.select(*keys, "t", F.lit(None).cast(known.schema["hit"].dataType).alias("hit"),
-                                         F.lit(True).alias("ask")))
-              .groupBy(*keys, "t").agg(F.max("hit").alias("hit"), F.max("ask").alias("ask")))
-    if form == "plain":
-        run = Window.partitionBy(*keys).orderBy("t").rowsBetween(PAST, 0)
-        filled = stream.withColumn("found", F.last("hit", ignorenulls=True).over(run))
-    else:
-        filled = carry(stream.withColumn("_day", slot_start("t", DAY)), keys, "_day", ["t"], "hit", "found")
-    answers = filled.where("ask").select(*keys, "t", "found")
-    return (seek.join(answers, [*keys, "t"], "left")
+    order = [F.col(tie).alias("_tie")] if tie else []
+    have = right.withColumn("_t", micros(right, rt)).withColumn(
+        "_hit", F.struct(F.col("_t").alias("asof_t"), *order, *[F.col(c) for c in bring])).where(F.col("_t").isNotNull())
+    seek = left.withColumn("_t", micros(left, lt))
+    answers = _search(seek, have, keys, "_t", "_hit", False, form, slot)
+    return (seek.join(answers, [*keys, "_t"], "left")
             .select(*[seek[c] for c in left.columns], F.col("found.asof_t").alias("asof_t"),
                     *[F.col(f"found.{c}").alias(c) for c in bring]))
+
+
+def next_after(left: DataFrame, right: DataFrame, keys: Sequence[str], lt: str, rt: str, bring: Sequence[str],
+               form: str = "scaled", slot: int = DAY) -> DataFrame:
+    """Every left row plus `bring` and `next_t` of the first right row strictly after it: the same search,
+    time reversed."""
+    have = right.withColumn("_t", -micros(right, rt)).withColumn(
+        "_hit", F.struct("_t", *[F.col(c) for c in bring])).where(F.col("_t").isNotNull())
+    seek = left.withColumn("_t", -micros(left, lt))
+    answers = _search(seek, have, keys, "_t", "_hit", True, form, slot)
+    return (seek.join(answers, [*keys, "_t"], "left")
+            .select(*[seek[c] for c in left.columns], (-F.col("found._t")).alias("next_t"),
+                    *[F.col(f"found.{c}").alias(c) for c in bring]))

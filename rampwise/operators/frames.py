@@ -1,10 +1,13 @@
-"""Time frames evaluated once per distinct instant.
+"""Time frames and running values, evaluated once per distinct instant.
 
-Rows of one key that share an instant share every RANGE frame.  The stream is
-therefore reduced to one row per (key, instant) first, with partial aggregation
-before the shuffle; the frame then runs per (key, slot of time) over instants, and
-the result is joined to the rows that asked.  A window group holds at most the
-instants of two or three slots, however many rows a key, a slot or an instant has.
+Rows of one key that share an instant share every RANGE frame and every running value.  The
+stream is therefore reduced to one row per (key, instant) first, with partial aggregation before
+the shuffle; windows then run per (key, slot of time) over instants, and the result is joined to
+the rows that asked.  A window group holds at most the instants of two or three slots, however
+many rows a key, a slot or an instant has.
+
+A frame reaches into the neighbouring slots, so instants are copied there.  A running value adds
+what the earlier slots hold in total, from a table with one row per key and slot.
 """
 
 from __future__ import annotations
@@ -15,9 +18,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rampwise.functions.clock import slot_start
+from rampwise.functions.clock import DAY, slot_start
 
 COMBINE = {"sum": F.sum, "min": F.min, "max": F.max}
+PAST = Window.unboundedPreceding
 
 
 @dataclass(frozen=True)
@@ -39,43 +43,79 @@ class Frame:
     high: int
 
 
+@dataclass(frozen=True)
+class Running:
+    """`measure` over all instants up to t, with or without t itself.
+
+    The largest of structs that start with their time is the latest one: an as-of search.
+    """
+
+    out: str
+    measure: str
+    exclusive: bool = False
+
+
 def count_where(condition: Column) -> Column:
     return F.when(condition, F.lit(1)).otherwise(F.lit(0)).cast("long")
 
 
+def _merge(how: str, earlier: Column, here: Column) -> Column:
+    if how == "sum":
+        return F.coalesce(earlier, F.lit(0)) + F.coalesce(here, F.lit(0))
+    if how == "max":  # here is never below earlier where both orders are by time
+        return F.coalesce(F.greatest(earlier, here), earlier, here)
+    return F.coalesce(F.least(earlier, here), earlier, here)
+
+
 def instant_frames(stream: DataFrame, keys: Sequence[str], t: str, measures: Sequence[Measure],
-                   frames: Sequence[Frame], asks: Column | None = None,
-                   form: str = "scaled") -> DataFrame:
-    """(keys, t, one column per frame), a row per instant where `asks` holds for some row.
+                   frames: Sequence[Frame] = (), running: Sequence[Running] = (), keep: Sequence[str] = (),
+                   asks: Column | None = None, form: str = "scaled", slot: int = DAY) -> DataFrame:
+    """(keys, t, frames, running values, kept measures), a row per instant where `asks` holds for some row.
 
-    A measure's column is evaluated per stream row; null contributes nothing.  `form="plain"`
-    keeps one group per key and is there to compare with.
+    A measure's column is evaluated per stream row; null contributes nothing.  `slot` is the slot's width
+    where no frame sets it.  `form="plain"` keeps one group per key and is there to compare with.
     """
     asked = F.lit(True) if asks is None else asks
     rows = stream.where(F.col(t).isNotNull())
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
-    instants = rows.groupBy(*keys, t).agg(
-        *[COMBINE[m.how](m.column).alias(m.name) for m in measures],
-        F.max(asked).alias("_asked"))
     how = {m.name: m.how for m in measures}
-    if form == "plain":
-        group = Window.partitionBy(*keys).orderBy(t)
-        placed = instants.withColumn("_home", F.lit(True))
+    by_name = {m.name: m for m in measures}
+    instants = rows.groupBy(*keys, t).agg(*[COMBINE[m.how](m.column).alias(m.name) for m in measures],
+                                          F.max(asked).alias("_asked"))
+    back = max([0] + [-f.low for f in frames])
+    ahead = max([0] + [f.high for f in frames])
+    plain = form == "plain"
+    width = max(back, ahead) or slot
+    home = slot_start(t, width)
+    slots = [home] + ([home + F.lit(width)] if back else []) + ([home - F.lit(width)] if ahead else [])
+    if plain:
+        placed, group = instants.withColumn("_home", F.lit(True)), Window.partitionBy(*keys).orderBy(t)
     else:
-        back = max([0] + [-f.low for f in frames])
-        ahead = max([0] + [f.high for f in frames])
-        width = max(back, ahead, 1)
-        home = slot_start(t, width)
-        slots = [home]
-        if back:
-            slots.append(home + F.lit(width))
-        if ahead:
-            slots.append(home - F.lit(width))
-        placed = (instants.withColumn("_slot", F.explode(F.array(*slots)))
+        placed = (instants.withColumn("_slot", F.explode(F.array(*slots)) if len(slots) > 1 else home)
                   .withColumn("_home", F.col("_slot") == home))
         group = Window.partitionBy(*keys, "_slot").orderBy(t)
-    values = [COMBINE[how[f.measure]](f.measure).over(group.rangeBetween(f.low, f.high)).alias(f.out)
-              for f in frames]
-    return (placed.select(*keys, t, "_asked", "_home", *values)
-            .where(F.col("_home") & F.col("_asked")).drop("_home", "_asked"))
+    made = [COMBINE[how[f.measure]](f.measure).over(group.rangeBetween(f.low, f.high)).alias(f.out) for f in frames]
+    for r in running:
+        own = F.col(r.measure) if len(slots) == 1 or plain else F.when(F.col("_home"), F.col(r.measure))
+        made.append(COMBINE[how[r.measure]](own).over(group.rowsBetween(PAST, -1 if r.exclusive else 0)).alias(r.out))
+    spot = [] if plain else ["_slot"]
+    out = (placed.select(*keys, t, *spot, "_asked", "_home", *keep, *made).where(F.col("_home") & F.col("_asked")))
+    if running and not plain:
+        # Without frames the totals read the same columns as the instants and share their exchange; with frames a
+        # narrow second pass over the rows is cheaper, as its rows merge before they move.
+        used = sorted({r.measure for r in running})
+        if frames:
+            totals = rows.groupBy(*keys, home.alias("_slot")).agg(
+                *[COMBINE[how[m]](by_name[m].column).alias(m) for m in used], F.max(asked).alias("_asked"))
+        else:
+            totals = instants.groupBy(*keys, home.alias("_slot")).agg(*[COMBINE[how[m]](m).alias(m) for m in used],
+                                                                      F.max("_asked").alias("_asked"))
+        across = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(PAST, -1)
+        before = (totals.select(*keys, "_slot", "_asked", *[COMBINE[how[m]](m).over(across).alias(f"_b_{m}") for m in used])
+                  .where("_asked").drop("_asked"))
+        # A left join infers no null filter on its left side, so the two readers of the instants stay alike.
+        out = out.join(before, [*keys, "_slot"], "left")
+        out = out.select(*keys, t, *keep, *[f.out for f in frames],
+                         *[_merge(how[r.measure], F.col(f"_b_{r.measure}"), F.col(r.out)).alias(r.out) for r in running])
+    return out.select(*keys, t, *keep, *[f.out for f in frames], *[r.out for r in running])

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rampwise.functions.clock import DAY, micros, slot_start
-from rampwise.operators.scan import PAST, running_sums, tie_rank
+from rampwise.functions.clock import micros
+from rampwise.operators.frames import PAST, Measure, Running, instant_frames
+from rampwise.operators.scan import tie_rank
 
 
 def _intervals(df: DataFrame, key: str, start: str, end: str, id: str | None = None) -> DataFrame:
@@ -17,13 +18,12 @@ def _intervals(df: DataFrame, key: str, start: str, end: str, id: str | None = N
     return df.select(*cols).where(F.col("key").isNotNull() & (F.col("s") < F.col("e")))
 
 
-def _open_before(edges: DataFrame) -> DataFrame:
+def _open_before(edges: DataFrame, asks: Column) -> DataFrame:
     """(key, t, open): balance at t after those that leave and before those that enter at t."""
-    instants = (edges.groupBy("key", "t").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
-                .withColumn("net", F.col("up") - F.col("down"))
-                .withColumn("day", slot_start("t", DAY)))
-    run = running_sums(instants, ["key"], "day", ["t"], ["net"])
-    return run.select("key", "t", (F.col("run_net") - F.col("up")).alias("open"))
+    net = F.col("up") - F.col("down")
+    run = instant_frames(edges, ["key"], "t", [Measure("up", F.col("up")), Measure("net", net)],
+                         running=[Running("run", "net")], keep=["up"], asks=asks)
+    return run.select("key", "t", (F.col("run") - F.col("up")).alias("open"))
 
 
 def _edges(intervals: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def occupancy(df: DataFrame, key: str, start: str, end: str, id: str, out: str =
         run = Window.partitionBy("key").orderBy("t", "delta", "id").rowsBetween(PAST, 0)
         return (stream.withColumn("q", F.sum("delta").over(run)).where(F.col("delta") == 1)
                 .select(F.col("id").alias(id), (F.col("q") - 1).cast("long").alias(out)))
-    state = _open_before(_edges(rows))
+    state = _open_before(_edges(rows), F.col("up") > 0)
     ranked = tie_rank(rows.select("key", F.col("s").alias("t"), "id"), ["key", "t"], "id")
     return (ranked.join(state, ["key", "t"])
             .select(F.col("id").alias(id), (F.col("open") + F.col("tie_rank") - 1).cast("long").alias(out)))
@@ -68,6 +68,7 @@ def occupancy_at(probes: DataFrame, intervals: DataFrame, key: str, at: str, sta
         return (stream.withColumn("q", F.sum("delta").over(run)).where(F.col("delta") == 0)
                 .select(F.col("id").alias(id), F.col("q").cast("long").alias(out)))
     none = F.lit(0).cast("long")
-    stream = _edges(held).unionByName(asked.select("key", "t", none.alias("up"), none.alias("down")))
-    return (asked.join(_open_before(stream), ["key", "t"])
+    stream = (_edges(held).withColumn("ask", F.lit(False))
+              .unionByName(asked.select("key", "t", none.alias("up"), none.alias("down"), F.lit(True).alias("ask"))))
+    return (asked.join(_open_before(stream, F.col("ask")), ["key", "t"])
             .select(F.col("id").alias(id), F.col("open").cast("long").alias(out)))

@@ -12,30 +12,36 @@ from rampwise.operators.scan import PAST, running_sums
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
-                    accuracy: int = 10_000) -> DataFrame:
+                    accuracy: int = 10_000, whole: int = 200_000) -> DataFrame:
     """(keys, n, one column per quantile), interpolated, nulls skipped.
 
-    A mergeable sketch brackets each quantile (its rank error is at most n/accuracy); only the
-    distinct values inside the bracket are then put in order, with the count below it.  Groups
-    of up to 20*accuracy rows are bracketed by everything they have.
+    A group of up to `whole` rows is aggregated as it is.  For a larger one a mergeable sketch brackets each
+    quantile (its rank error is at most n/accuracy); only the distinct values inside the bracket are put in
+    order, with the count below it.  Both ways are exact.
     """
     group = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("v"))
     if not group:
         group, rows = ["_all"], rows.withColumn("_all", F.lit(1))
-    margin = 3.0 / accuracy
+    for k in group:  # null is a group too, but never equal in a join
+        rows = rows.withColumn(f"_k{k}", F.struct(F.col(k)))
+    join_keys = [f"_k{k}" for k in group]
+    counts = rows.groupBy(*group, *join_keys).agg(F.count(F.lit(1)).alias("n"))
+    large = counts.where(F.col("n") > whole)
     names = list(probs)
-    cuts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *[
+    small = (rows.join(large.select(*join_keys), join_keys, "left_anti").groupBy(*group)
+             .agg(F.count(F.lit(1)).alias("n"), F.percentile("v", [probs[q] for q in names]).alias("_q"))
+             .select(*group, "n", *[F.col("_q")[i].alias(q) for i, q in enumerate(names)]))
+    hot = rows.join(large.select(*join_keys, "n"), join_keys)
+    margin = 3.0 / accuracy
+    cuts = hot.groupBy(*group, *join_keys, "n").agg(*[
         F.percentile_approx("v", [max(0.0, probs[q] - margin), min(1.0, probs[q] + margin)], accuracy).alias(f"_c{i}")
         for i, q in enumerate(names)])
-    big = F.col("n") > 20 * accuracy
     ask = F.array(*[F.struct(F.lit(i).alias("q"), (F.lit(probs[q]) * (F.col("n") - 1)).alias("place"),
-                             F.when(big, F.col(f"_c{i}")[0]).alias("low"), F.when(big, F.col(f"_c{i}")[1]).alias("high"))
-                    for i, q in enumerate(names)])
-    asked = cuts.select(*group, "n", F.explode(ask).alias("a")).select(*group, "n", "a.*")
-    low, high = F.col("low"), F.col("high")
-    seen = (rows.join(asked, group).where(high.isNull() | (F.col("v") <= high))
-            .groupBy(*group, "n", "q", "place", F.when(low.isNull() | (F.col("v") >= low), F.col("v")).alias("v"))
+                             F.col(f"_c{i}")[0].alias("low"), F.col(f"_c{i}")[1].alias("high")) for i, q in enumerate(names)])
+    asked = cuts.select(*join_keys, F.explode(ask).alias("a")).select(*join_keys, "a.*")
+    seen = (hot.join(asked, join_keys).where(F.col("v") <= F.col("high"))
+            .groupBy(*group, "n", "q", "place", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v"))
             .agg(F.count(F.lit(1)).alias("c")))
     # The null value stands for everything below the bracket and sorts first.
     order = Window.partitionBy(*group, "q").orderBy(F.col("v").asc_nulls_first()).rowsBetween(PAST, 0)
@@ -44,8 +50,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
     at = lambda k: F.max(F.when((F.col("upto") > k) & (F.col("upto") - F.col("c") <= k), F.col("v")))
     picked = placed.groupBy(*group, "n", "q", "place").agg(at(first).alias("a"), at(second).alias("b"))
     exact = F.col("a") + (F.col("b") - F.col("a")) * (F.col("place") - first)
-    out = picked.groupBy(*group, "n").agg(*[F.max(F.when(F.col("q") == i, exact)).alias(q) for i, q in enumerate(names)])
-    return out.select(*keys, "n", *names)
+    big = picked.groupBy(*group, "n").agg(*[F.max(F.when(F.col("q") == i, exact)).alias(q) for i, q in enumerate(names)])
+    return small.unionByName(big.select(*group, "n", *names)).select(*keys, "n", *names)
 
 
 def ordered_distribution(df: DataFrame, value: str, sums: Mapping[str, Column] | None = None,

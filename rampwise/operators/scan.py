@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAST = Window.unboundedPreceding
-FUTURE = Window.unboundedFollowing
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str],
@@ -33,30 +32,6 @@ def running_sums(df: DataFrame, keys: Sequence[str], block: str, order: Sequence
     return out
 
 
-def carry(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], value: str,
-          out: str, backwards: bool = False, inclusive: bool = True) -> DataFrame:
-    """Last non-null `value` at or before each row (or first at or after it).
-
-    `inclusive=False` looks at the other rows only.
-    """
-    edge = 0 if inclusive else (1 if backwards else -1)
-    inside = Window.partitionBy(*keys, block).orderBy(*order)
-    across = Window.partitionBy(*keys).orderBy(block)
-    rank = F.struct(*[F.col(o) for o in order])
-    known = F.when(F.col(value).isNotNull(), rank)
-    if backwards:
-        inside, across = inside.rowsBetween(edge, FUTURE), across.rowsBetween(1, FUTURE)
-        take, pick = F.first, F.min_by(F.col(value), known)
-    else:
-        inside, across = inside.rowsBetween(PAST, edge), across.rowsBetween(PAST, -1)
-        take, pick = F.last, F.max_by(F.col(value), known)
-    ends = df.groupBy(*keys, block).agg(pick.alias("_end"))
-    beyond = ends.select(*keys, block, take("_end", ignorenulls=True).over(across).alias("_beyond"))
-    local = df.withColumn("_here", take(F.col(value), ignorenulls=True).over(inside))
-    return (local.join(beyond, [*keys, block], "left")
-            .select(*df.columns, F.coalesce("_here", "_beyond").alias(out)))
-
-
 def neighbours(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str],
                columns: Sequence[str], previous: str | None = "prev",
                following: str | None = "next") -> DataFrame:
@@ -79,16 +54,17 @@ def neighbours(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[s
 
 
 def tie_rank(df: DataFrame, keys: Sequence[str], id: str, out: str = "tie_rank",
-             width: int = 1_000_000) -> DataFrame:
-    """1-based position by numeric `id` among rows equal in `keys`.
+             width: int = 1_000_000, source: DataFrame | None = None) -> DataFrame:
+    """1-based position by numeric `id` among rows equal in `keys`; null where a key is.
 
     Blocks are ranges of ids, so a block of unique ids holds `width` rows at most
-    even if a single instant holds a third of the table.
+    even if a single instant holds a third of the table.  `source` holds the same keys and ids
+    as `df` where they are cheaper to read.
     """
     blocked = df.withColumn("_idblock", F.floor(F.col(id) / width))
     inside = Window.partitionBy(*keys, "_idblock").orderBy(id)
     across = Window.partitionBy(*keys).orderBy("_idblock").rowsBetween(PAST, -1)
-    before = (df.groupBy(*keys, F.floor(F.col(id) / width).alias("_idblock"))
+    before = ((df if source is None else source).groupBy(*keys, F.floor(F.col(id) / width).alias("_idblock"))
               .agg(F.count(F.lit(1)).alias("_n"))
               .select(*keys, "_idblock", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_below")))
     return (blocked.withColumn("_pos", F.row_number().over(inside))

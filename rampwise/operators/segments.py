@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rampwise.functions.scalars import planar_metres
-from rampwise.operators.scan import carry, neighbours, running_sums
+from rampwise.operators import asof
+from rampwise.operators.scan import neighbours, running_sums
 
 ORDER = ("t", "seq")
 
@@ -85,11 +86,12 @@ def motion(runs: DataFrame, entity: str = "entity", moving: float = 3, stopped:
         F.greatest(F.lit(0.0), F.max(F.when(on, gs).otherwise(0.0))).alias("max_gs"))
 
 
-def later_name(points: DataFrame, entity: str = "entity", name: str = "callsign", block: float = 86_400) -> DataFrame:
-    """(entity, t, seq, later): the first name carried by a following point."""
-    blocked = points.withColumn("_blk", _slot(block))
-    return carry(blocked.select(entity, *ORDER, "_blk", name), [entity], "_blk", list(ORDER), name, "later",
-                 backwards=True, inclusive=False).select(entity, *ORDER, "later")
+def later_name(rows: DataFrame, points: DataFrame, entity: str = "entity", at: str = "t", name: str = "callsign") -> DataFrame:
+    """`rows` plus `later`: the first name a point carries strictly after `at`."""
+    # Of names at one instant the one of the smallest seq is heard first.
+    named = points.where(F.col(name).isNotNull()).select(
+        entity, F.col("t").alias("_pt"), (-F.col("seq")).alias("_first"), F.col(name).alias("later"))
+    return asof.next_after(rows, named, [entity], at, "_pt", ["_first", "later"]).drop("next_t", "_first")
 
 
 def run_names(runs: DataFrame, summary: DataFrame, points: DataFrame, entity: str = "entity", name: str = "callsign") -> DataFrame:
@@ -99,10 +101,9 @@ def run_names(runs: DataFrame, summary: DataFrame, points: DataFrame, entity: st
     """
     seen = (runs.where(F.col(name).isNotNull()).groupBy(entity, "seg", name)
             .agg(F.count(F.lit(1)).alias("n"), F.min("t").cast("double").alias("first")))
-    after = later_name(points, entity, name).where(F.col("later").isNotNull())
-    added = (summary.where(F.col("t_first_air").isNull())
-             .select(entity, "seg", F.col("t_last_ground").alias("t"), F.col("seq_last").alias("seq"))
-             .join(after, [entity, *ORDER])
+    after = later_name(summary.where(F.col("t_first_air").isNull()).select(entity, "seg", "t_last_ground"), points,
+                       entity, "t_last_ground", name)
+    added = (after.where(F.col("later").isNotNull())
              .select(entity, "seg", F.col("later").alias(name), F.lit(1).cast("long").alias("n"),
                      F.lit(float("inf")).alias("first")))
     tally = (seen.unionByName(added).groupBy(entity, "seg", name)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rampwise.functions.clock import micros, slot_start, span
+from rampwise.operators.asof import next_after
 
 
 def join_features(base: DataFrame, tables: Sequence[DataFrame], id: str) -> DataFrame:
@@ -74,16 +75,10 @@ def reoccupied(intervals: DataFrame, events: DataFrame, key: str, id: str, start
     Only the first event after the start matters, so this is a search for the next instant rather
     than a join of all pairs.
     """
-    from rampwise.operators.scan import carry
-
     spans = intervals.select(F.col(key).alias("k"), micros(intervals, start).alias("t"),
                              micros(intervals, end).alias("e"), F.col(id).alias(id))
-    marks = events.select(F.col(key).alias("k"), micros(events, at).alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
-    stream = (marks.withColumn("hit", F.col("t"))
-              .unionByName(spans.where("k IS NOT NULL AND t IS NOT NULL").select("k", "t", F.lit(None).cast("long").alias("hit")))
-              .groupBy("k", "t").agg(F.max("hit").alias("hit")).withColumn("_slot", slot_start("t", span(width))))
-    following = carry(stream, ["k"], "_slot", ["t"], "hit", "next_t", backwards=True, inclusive=False)
+    marks = events.select(F.col(key).alias("k"), micros(events, at).alias("t"))
+    found = next_after(spans, marks, ["k"], "t", "t", [], slot=span(width))
     taken = F.col("next_t").isNotNull() & (F.col("next_t") < F.col("e"))
-    return (spans.join(following.select("k", "t", "next_t"), ["k", "t"], "left")
-            .select(id, F.coalesce(taken, F.lit(False)).alias("taken"),
-                    F.when(taken, (F.col("e") - F.col("next_t")) / 1_000_000).alias("lead")))
+    return found.select(id, F.coalesce(taken, F.lit(False)).alias("taken"),
+                        F.when(taken, (F.col("e") - F.col("next_t")) / 1_000_000).alias("lead"))

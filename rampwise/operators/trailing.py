@@ -7,9 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rampwise.functions.clock import DAY, micros, slot_start, span
-from rampwise.operators.frames import Frame, Measure, count_where, instant_frames
-from rampwise.operators.scan import carry
+from rampwise.functions.clock import micros, slot_start, span
+from rampwise.operators.frames import Frame, Measure, Running, count_where, instant_frames
 
 
 def _minutes(seconds: float) -> str:
@@ -34,7 +33,7 @@ def trailing_counts(events: DataFrame, probes: DataFrame, key: str, t: str, kind
                                             F.lit(True).alias("ask")))
     measures = [Measure(f"n_{k}", count_where(F.col("kind") == k)) for k in kinds]
     frames = [Frame(f"{k}_prev{_minutes(w)}", f"n_{k}", -span(w), 0) for k in kinds for w in windows]
-    found = instant_frames(stream, ["key"], "t", measures, frames, F.col("ask"), form)
+    found = instant_frames(stream, ["key"], "t", measures, frames, asks=F.col("ask"), form=form)
     return (asked.where(F.col("t").isNotNull()).join(found, ["key", "t"])
             .select(id, *[F.coalesce(f.out, F.lit(0)).cast("long").alias(f.out) for f in frames]))
 
@@ -55,7 +54,7 @@ def trailing_means(events: DataFrame, probes: DataFrame, key: str, t: str, kind:
         measures += [Measure(f"n_{k}", count_where(held)), Measure(f"s_{k}", F.when(held, F.col("v")))]
         frames += [Frame(f"fn_{k}", f"n_{k}", -span(window), -span(gap)),
                    Frame(f"fs_{k}", f"s_{k}", -span(window), -span(gap))]
-    found = instant_frames(stream, ["key"], "t", measures, frames, F.col("ask"), form)
+    found = instant_frames(stream, ["key"], "t", measures, frames, asks=F.col("ask"), form=form)
     return (asked.where(F.col("t").isNotNull()).join(found, ["key", "t"])
             .select(id, *[F.try_divide(F.col(f"fs_{k}"), F.col(f"fn_{k}")).alias(f"{k}_mean{_minutes(window)}")
                           for k in kinds]))
@@ -156,9 +155,5 @@ def last_when(df: DataFrame, key: str, t: str, condition: Column, out: str = "la
               form: str = "scaled") -> DataFrame:
     """(key, t_us, out): last instant at or before t at which the condition held, in microseconds."""
     rows = df.withColumn("t_us", micros(df, t)).where(F.col("t_us").isNotNull() & F.col(key).isNotNull())
-    instants = rows.groupBy(key, "t_us").agg(F.max(F.when(condition, F.col("t_us"))).alias("_held"))
-    if form == "plain":
-        run = Window.partitionBy(key).orderBy("t_us").rowsBetween(Window.unboundedPreceding, 0)
-        return instants.select(key, "t_us", F.max("_held").over(run).alias(out))
-    blocked = instants.withColumn("_day", slot_start("t_us", DAY))
-    return carry(blocked, [key], "_day", ["t_us"], "_held", out).select(key, "t_us", out)
+    held = Measure("held", F.when(condition, F.col("t_us")), "max")
+    return instant_frames(rows, [key], "t_us", [held], running=[Running(out, "held")], form=form)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rampwise.functions import scalars as S
 from rampwise.operators import groups, match, segments, setops
+from rampwise.session import pinned
 
 SCHEMA_VERSION = 3
 OPTIONAL = {"path_m": "double", "stopped_s": "double", "n_stops": "bigint", "max_gs": "double",
@@ -24,7 +25,8 @@ def ground_segments(points: DataFrame, sites: Mapping[str, tuple[float, float]]
     """
     if sites is not None:
         points = points.withColumn("site", S.site_of("lat", "lon", sites))
-    runs = segments.segments(points, entity, max_gap)
+    # Four aggregates read the runs: they are cut from the trace scan and its windows once.
+    runs = pinned(segments.segments(points, entity, max_gap))
     summary = segments.next_after(segments.summarise(runs, entity, moving), within)
     moved = segments.motion(runs, entity, moving)
     names = segments.run_names(runs, summary, points, entity)
@@ -90,7 +92,7 @@ def trace_features(dep: DataFrame, seg: DataFrame, covered: DataFrame) -> DataFr
 
     Departures need id, site, cs, flt, stand, t_off, t_ref (seconds) and day.
     """
-    m = match_traces(dep, seg)
+    m = pinned(match_traces(dep, seg))  # read by the reference points, the distance and the features
     pos = stand_distance(m, dep)
     days = covered.select("day").distinct().withColumn("_covered", F.lit(True))
     joined = (dep.select("id", "day", "t_off", "t_ref").join(days, "day", "left")
