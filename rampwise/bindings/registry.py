@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rampwise.session import pin_utc
 
@@ -17,8 +18,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return pin_utc(spark).read.parquet(f"{d}/{name}.parquet")
+    """The schema is read from the footers once; later scans of the same table are given it."""
+    path = f"{d}/{name}.parquet"
+    reader = pin_utc(spark).read
+    if path in _SCHEMAS:
+        return reader.schema(_SCHEMAS[path]).parquet(path)
+    df = reader.parquet(path)
+    _SCHEMAS[path] = df.schema
+    return df
 
 
 def bind(name: str, sql: str | None = None, uses: str = ""):

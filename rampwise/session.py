@@ -19,6 +19,7 @@ def local_session(app: str = "rampwise", cores: str | int = 8, partitions: int =
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # call sites per column cost more than the plan
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
