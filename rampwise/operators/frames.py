@@ -8,6 +8,11 @@ many rows a key, a slot or an instant has.
 
 A frame reaches into the neighbouring slots, so instants are copied there.  A running value adds
 what the earlier slots hold in total, from a table with one row per key and slot.
+
+Three forms give the same result.  `scaled` is the above.  `fine` is for streams in which one slot may
+hold too many distinct instants (clocks of a microsecond): it splits a frame into the part of its first
+second, the whole seconds between and the part of its last one, so that no group exceeds the instants of
+a second or the seconds of three slots, whatever the data.  `plain` is one group per key, to compare with.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rampwise.functions.clock import DAY, slot_start
+from rampwise.functions.clock import DAY, HOUR, MINUTE, SECOND, micros, slot_start
 
 COMBINE = {"sum": F.sum, "min": F.min, "max": F.max}
 PAST = Window.unboundedPreceding
@@ -55,6 +60,16 @@ class Running:
     exclusive: bool = False
 
 
+def form_for(df: DataFrame, keys: Sequence[str], t: str, width: int = 3 * HOUR, limit: int = 10_000_000) -> str:
+    """`fine` where some slot of a key holds more than `limit` distinct instants, else `scaled`.
+
+    One pass over the keys and the time with mergeable distinct counts; a single number comes back.
+    """
+    slots = df.groupBy(*keys, slot_start(micros(df, t), width).alias("_s")).agg(F.approx_count_distinct(t).alias("n"))
+    most = slots.agg(F.max("n")).first()[0] or 0
+    return "fine" if most > limit else "scaled"
+
+
 def count_where(condition: Column) -> Column:
     return F.when(condition, F.lit(1)).otherwise(F.lit(0)).cast("long")
 
@@ -73,8 +88,10 @@ def instant_frames(stream: DataFrame, keys: Sequence[str], t: str, measures: Seq
     """(keys, t, frames, running values, kept measures), a row per instant where `asks` holds for some row.
 
     A measure's column is evaluated per stream row; null contributes nothing.  `slot` is the slot's width
-    where no frame sets it.  `form="plain"` keeps one group per key and is there to compare with.
+    where no frame sets it.
     """
+    if form not in ("plain", "scaled", "fine"):
+        raise ValueError(f"unknown form {form}")
     asked = F.lit(True) if asks is None else asks
     rows = stream.where(F.col(t).isNotNull())
     for k in keys:
@@ -83,6 +100,14 @@ def instant_frames(stream: DataFrame, keys: Sequence[str], t: str, measures: Seq
     by_name = {m.name: m for m in measures}
     instants = rows.groupBy(*keys, t).agg(*[COMBINE[m.how](m.column).alias(m.name) for m in measures],
                                           F.max(asked).alias("_asked"))
+    if form == "fine":
+        if not frames:
+            return instant_frames(stream, keys, t, measures, (), running, keep, asks, "scaled", min(slot, MINUTE))
+        out = _by_seconds(instants, keys, t, measures, frames)
+        if running or keep:
+            rest = instant_frames(stream, keys, t, measures, (), running, keep, asks, "scaled", min(slot, MINUTE))
+            out = out.join(rest, [*keys, t])
+        return out.select(*keys, t, *keep, *[f.out for f in frames], *[r.out for r in running])
     back = max([0] + [-f.low for f in frames])
     ahead = max([0] + [f.high for f in frames])
     plain = form == "plain"
@@ -119,3 +144,46 @@ def instant_frames(stream: DataFrame, keys: Sequence[str], t: str, measures: Seq
         out = out.select(*keys, t, *keep, *[f.out for f in frames],
                          *[_merge(how[r.measure], F.col(f"_b_{r.measure}"), F.col(r.out)).alias(r.out) for r in running])
     return out.select(*keys, t, *keep, *[f.out for f in frames], *[r.out for r in running])
+
+
+def _all_of(how: str, parts: Sequence[Column]) -> Column:
+    """Parts of one frame put together; null where all are."""
+    if how != "sum":
+        return (F.least if how == "min" else F.greatest)(*parts)
+    return F.when(F.coalesce(*parts).isNotNull(), sum((F.coalesce(p, F.lit(0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0))))
+
+
+def _by_seconds(instants: DataFrame, keys: Sequence[str], t: str, measures: Sequence[Measure], frames: Sequence[Frame],
+                tick: int = SECOND) -> DataFrame:
+    """Frames of the asked instants as first part, whole ticks and last part."""
+    if any(f.low % tick or f.high % tick or f.low >= f.high for f in frames):
+        raise ValueError("frame bounds must be different whole seconds")
+    how = {m.name: m.how for m in measures}
+    names = [m.name for m in measures]
+    edges = sorted({(f.low, "from") for f in frames} | {(f.high, "to") for f in frames})
+    # Marks stand where a frame of an asked instant begins or ends.
+    marks = instants.where("_asked").select(*keys, F.col(t).alias("_of"), F.explode(F.array(*[
+        F.struct(F.lit(i).alias("edge"), (F.col(t) + F.lit(o)).alias("at")) for i, (o, _) in enumerate(edges)])).alias("m"))
+    marks = marks.select(*keys, F.col("m.at").alias("_at"), "_of", F.col("m.edge").alias("_edge"),
+                         *[F.lit(None).cast(instants.schema[n].dataType).alias(n) for n in names])
+    facts = instants.select(*keys, F.col(t).alias("_at"), F.lit(None).cast("long").alias("_of"), F.lit(None).cast("int").alias("_edge"), *names)
+    group = Window.partitionBy(*keys, "_tick").orderBy("_at")
+    until, since = group.rangeBetween(PAST, 0), group.rangeBetween(0, Window.unboundedFollowing)
+    # One order serves both directions: the rest of a tick is its own window over the same groups.
+    seen = facts.unionByName(marks).withColumn("_tick", slot_start("_at", tick)).select(
+        *keys, "_of", "_edge",
+        *[COMBINE[how[n]](n).over(until).alias(f"_to_{n}") for n in sorted({f.measure for f in frames})],
+        *[COMBINE[how[n]](n).over(since).alias(f"_from_{n}") for n in sorted({f.measure for f in frames})]).where(F.col("_edge").isNotNull())
+    place = {e: i for i, e in enumerate(edges)}
+    part = lambda f, side, o: F.max(F.when(F.col("_edge") == place[(o, side)], F.col(f"_{side}_{f.measure}")))
+    ends = seen.groupBy(*keys, F.col("_of").alias(t)).agg(*[
+        made for f in frames for made in (part(f, "from", f.low).alias(f"_a_{f.out}"), part(f, "to", f.high).alias(f"_z_{f.out}"))])
+    inner = [Frame(f"_i_{f.out}", f.measure, f.low + tick, f.high - tick) for f in frames if f.low + tick <= f.high - tick]
+    if inner:
+        between = instant_frames(instants.withColumn("_tick", slot_start(t, tick)), keys, "_tick",
+                                 [Measure(m.name, F.col(m.name), m.how) for m in measures], inner, asks=F.col("_asked"))
+        ends = ends.withColumn("_tick", slot_start(t, tick)).join(between, [*keys, "_tick"])
+    middle = {f.out for f in inner}
+    return ends.select(*keys, t, *[
+        _all_of(how[f.measure], [F.col(f"_a_{o}"), *([F.col(f"_i_{o}")] if f"_i_{o}" in middle else []), F.col(f"_z_{o}")]).alias(o)
+        for f in frames for o in [f.out]])

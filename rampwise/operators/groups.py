@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rampwise.functions.scalars import bin_by_edges, clip
@@ -84,7 +84,7 @@ def share_of_total(df: DataFrame, keys: Sequence[str], out: str = "share") -> Da
     return counts.withColumn(out, F.col("n") / total)
 
 
-def code_map(df: DataFrame, source: str, target: str) -> DataFrame:
+def learn_code_map(df: DataFrame, source: str, target: str) -> DataFrame:
     """(source, target): the commonest target of each source code, the smaller code on a tie.
 
     The winner is found first: a source whose commonest target is empty is dropped, as is an
@@ -92,12 +92,11 @@ def code_map(df: DataFrame, source: str, target: str) -> DataFrame:
     """
     counts = (df.where(F.col(source).isNotNull() & F.col(target).isNotNull())
               .groupBy(source, target).agg(F.count(F.lit(1)).alias("n")))
-    order = Window.partitionBy(source).orderBy(F.desc("n"), target)
-    return (counts.withColumn("_r", F.row_number().over(order)).where("_r = 1")
-            .where((F.col(source) != "") & (F.col(target) != "")).select(source, target))
+    best = counts.groupBy(source).agg(F.min_by(target, F.struct(-F.col("n"), F.col(target))).alias(target))
+    return best.where((F.col(source) != "") & (F.col(target) != ""))
 
 
-def reference_points(df: DataFrame, keys: Sequence[str], lat: str, lon: str, where: Column, min_n: int = 5) -> DataFrame:
+def learn_reference(df: DataFrame, keys: Sequence[str], lat: str, lon: str, where: Column, min_n: int = 5) -> DataFrame:
     """Median position per key from the rows that qualify."""
     rows = df.where(where)
     for k in keys:

@@ -18,11 +18,11 @@ def _intervals(df: DataFrame, key: str, start: str, end: str, id: str | None = N
     return df.select(*cols).where(F.col("key").isNotNull() & (F.col("s") < F.col("e")))
 
 
-def _open_before(edges: DataFrame, asks: Column) -> DataFrame:
+def _open_before(edges: DataFrame, asks: Column, form: str) -> DataFrame:
     """(key, t, open): balance at t after those that leave and before those that enter at t."""
     net = F.col("up") - F.col("down")
     run = instant_frames(edges, ["key"], "t", [Measure("up", F.col("up")), Measure("net", net)],
-                         running=[Running("run", "net")], keep=["up"], asks=asks)
+                         running=[Running("run", "net")], keep=["up"], asks=asks, form=form)
     return run.select("key", "t", (F.col("run") - F.col("up")).alias("open"))
 
 
@@ -47,7 +47,7 @@ def occupancy(df: DataFrame, key: str, start: str, end: str, id: str, out: str =
         run = Window.partitionBy("key").orderBy("t", "delta", "id").rowsBetween(PAST, 0)
         return (stream.withColumn("q", F.sum("delta").over(run)).where(F.col("delta") == 1)
                 .select(F.col("id").alias(id), (F.col("q") - 1).cast("long").alias(out)))
-    state = _open_before(_edges(rows), F.col("up") > 0)
+    state = _open_before(_edges(rows), F.col("up") > 0, form)
     ranked = tie_rank(rows.select("key", F.col("s").alias("t"), "id"), ["key", "t"], "id")
     return (ranked.join(state, ["key", "t"])
             .select(F.col("id").alias(id), (F.col("open") + F.col("tie_rank") - 1).cast("long").alias(out)))
@@ -70,5 +70,5 @@ def occupancy_at(probes: DataFrame, intervals: DataFrame, key: str, at: str, sta
     none = F.lit(0).cast("long")
     stream = (_edges(held).withColumn("ask", F.lit(False))
               .unionByName(asked.select("key", "t", none.alias("up"), none.alias("down"), F.lit(True).alias("ask"))))
-    return (asked.join(_open_before(stream, F.col("ask")), ["key", "t"])
+    return (asked.join(_open_before(stream, F.col("ask"), form), ["key", "t"])
             .select(F.col("id").alias(id), F.col("open").cast("long").alias(out)))

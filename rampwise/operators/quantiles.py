@@ -54,20 +54,30 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
     return small.unionByName(big.select(*group, "n", *names)).select(*keys, "n", *names)
 
 
+def medians(rows: DataFrame, keys: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
+    """(keys, one exact median per named value), nulls skipped."""
+    long = rows.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(n).alias("what"), c.cast("double").alias("v")) for n, c in values.items()])).alias("x")).select(*keys, "x.*")
+    held = exact_quantiles(long, [*keys, "what"], "v", {"m": 0.5})
+    return held.groupBy(*keys).agg(*[F.max(F.when(F.col("what") == n, F.col("m"))).alias(n) for n in values])
+
+
 def ordered_distribution(df: DataFrame, value: str, sums: Mapping[str, Column] | None = None,
-                         descending: bool = False, blocks: int = 256) -> DataFrame:
+                         descending: bool = False, blocks: int | None = None) -> DataFrame:
     """One row per distinct value: n, the sums, and their inclusive running totals run_<name>.
 
-    The order is global, so values are dealt to blocks at sketched quantiles (a few hundred
-    numbers pass through the driver) and summed in two levels.
+    The order is global, so values are dealt to blocks at sketched quantiles and summed in two levels.
+    There are four blocks per shuffle partition, at most 8192: those few numbers pass through the driver.
     """
+    if blocks is None:
+        blocks = min(8192, max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     sums = dict(sums or {})
     rows = df.where(F.col(value).isNotNull())
     sign = -1 if descending else 1
     counts = (rows.groupBy(value).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
               .withColumn("_order", (F.col(value) * sign).cast("double")))
     grid = [i / blocks for i in range(1, blocks)]
-    cut = counts.agg(F.percentile_approx("_order", grid, 10_000).alias("c")).first()["c"] or []
+    cut = counts.agg(F.percentile_approx("_order", grid, 10 * blocks).alias("c")).first()["c"] or []
     splits = [float("-inf"), *sorted(set(cut)), float("inf")]
     placed = (Bucketizer(splits=splits, inputCol="_order", outputCol="_block").transform(counts)
               if len(splits) > 2 else counts.withColumn("_block", F.lit(0.0)))

@@ -16,7 +16,7 @@ def _slot(block: float) -> Column:
     return F.floor(F.col("t") / block).cast("long")
 
 
-def with_step(points: DataFrame, entity: str = "entity", block: float = 86_400) -> DataFrame:
+def with_step(points: DataFrame, entity: str = "entity", block: float = 3600) -> DataFrame:
     """Each point with the points before and after it (structs prev and next).
 
     Points have: entity, t (epoch seconds), seq, ground, site (null off-site), lat, lon, gs.
@@ -25,7 +25,7 @@ def with_step(points: DataFrame, entity: str = "entity", block: float = 86_400)
     return neighbours(blocked, [entity], "_blk", list(ORDER), ["t", "seq", "ground", "site", "lat", "lon", "gs"])
 
 
-def segments(points: DataFrame, entity: str = "entity", max_gap: float = 1800, block: float = 86_400) -> DataFrame:
+def segments(points: DataFrame, entity: str = "entity", max_gap: float = 1800, block: float = 3600) -> DataFrame:
     """The points on ground at a site, with the number `seg` of their run within the entity and
     whether they continue it (`inside`).
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rampwise.functions import scalars as S
 from rampwise.operators import groups, match, segments, setops
+from rampwise.operators.quantiles import medians
 from rampwise.session import pinned
 
 SCHEMA_VERSION = 3
@@ -37,7 +38,7 @@ def ground_segments(points: DataFrame, sites: Mapping[str, tuple[float, float]]
 def prefix_map(dep: DataFrame) -> DataFrame:
     """(ia, ic): designator of the flight number to the callsign prefix most often seen with it."""
     coded = dep.select(S.key_part("flt", S.DESIGNATOR).alias("ia"), S.key_part("cs", S.ALPHA_PREFIX).alias("ic"))
-    return groups.code_map(coded, "ia", "ic")
+    return groups.learn_code_map(coded, "ia", "ic")
 
 
 def with_guesses(dep: DataFrame, literal_fallback: bool = True, learn_from: DataFrame | None = None) -> DataFrame:
@@ -81,7 +82,7 @@ def stand_distance(matched: DataFrame, dep: DataFrame, min_n: int = 5) -> DataFr
     """(id, dist_stand_m): from where the trace was first heard to the stand's learned position."""
     placed = matched.select("id", "kind", "gs_first", "lat0", "lon0").join(dep.select("id", "site", "stand"), "id")
     still = (F.col("kind") <= 3) & (F.coalesce("gs_first", F.lit(0.0)) < 1)
-    ref = groups.reference_points(placed, ["site", "stand"], "lat0", "lon0", still, min_n).drop("n")
+    ref = groups.learn_reference(placed, ["site", "stand"], "lat0", "lon0", still, min_n).drop("n")
     return placed.join(ref, ["site", "stand"]).select(
         "id", S.planar_metres("lat0", "lon0", "ref_lat", "ref_lon").alias("dist_stand_m"))
 
@@ -130,7 +131,7 @@ def witness_report(dep: DataFrame, seg: DataFrame, far: float = 600, tol: float
         "t_off", "t_first_air", "t_last_ground")
     cols = ["id", "seg_id", "kind", "dist", "t_first_ground", "t_first_moving"]
     m = match.accept(pairs.select(cols), "id", "seg_id").select("id", "t_first_ground", "t_first_moving", F.lit(True).alias("hit"))
-    rows = dep.join(m, "id", "left")
+    rows = pinned(dep.join(m, "id", "left"))  # five tables read it
     err = {"ref": F.col("t_ref") - F.col("t_start"), "firstobs": F.col("t_first_ground") - F.col("t_start"),
            "moving": F.col("t_first_moving") - F.col("t_start")}
     share = lambda c: 100 * F.avg(F.when(c, 1.0).when(~c, 0.0))
@@ -143,16 +144,17 @@ def witness_report(dep: DataFrame, seg: DataFrame, far: float = 600, tol: float
     real = rows.where(F.col("hit") & F.col("t_ref").isNotNull()
                       & (F.abs(F.col("y") - (F.col("t_off") - F.col("t_sched"))) > fallback))
     accuracy = real.groupBy("site").agg(F.count(F.lit(1)).alias("n"), *[
-        made for n, e in err.items() for made in (
-            F.median(e).alias(f"med_{n}"), rms(e).alias(f"rmse_{n}"), share(F.abs(e) <= tol).alias(f"pct_{n}"))])
+        made for n, e in err.items() for made in (rms(e).alias(f"rmse_{n}"), share(F.abs(e) <= tol).alias(f"pct_{n}"))])
+    accuracy = accuracy.join(medians(real, ["site"], {f"med_{n}": e for n, e in err.items()}), "site", "left")
     both = real.where(F.col("t_first_moving").isNotNull())
     off = both.where(F.abs(err["ref"]) > far).groupBy("site").agg(
-        F.count(F.lit(1)).alias("n"), F.median(F.abs(err["ref"])).alias("med_abs_ref"),
-        F.median(F.abs(err["moving"])).alias("med_abs_moving"),
-        share(F.abs(err["moving"]) < F.abs(err["ref"])).alias("pct_trace_closer"))
+        F.count(F.lit(1)).alias("n"), share(F.abs(err["moving"]) < F.abs(err["ref"])).alias("pct_trace_closer"))
+    off = off.join(medians(both.where(F.abs(err["ref"]) > far), ["site"], {
+        "med_abs_ref": F.abs(err["ref"]), "med_abs_moving": F.abs(err["moving"])}), "site", "left")
     unmatched = rows.where(F.col("t_ref").isNull()).groupBy("site").agg(
-        F.count(F.lit(1)).alias("n_unmatched"), F.count("hit").alias("n_traced"), F.median(err["moving"]).alias("med_moving_err"),
+        F.count(F.lit(1)).alias("n_unmatched"), F.count("hit").alias("n_traced"),
         share(F.abs(err["moving"]) <= 120).alias("pct120_moving"))
+    unmatched = unmatched.join(medians(rows.where(F.col("t_ref").isNull()), ["site"], {"med_moving_err": err["moving"]}), "site", "left")
     as_pred = lambda t: rms(F.col("t_off") - t - F.col("y"))
     headline = both.groupBy("site").agg(
         F.count(F.lit(1)).alias("n"), as_pred(F.col("t_ref")).alias("rmse_ref"), as_pred(F.col("t_first_moving")).alias("rmse_moving"),

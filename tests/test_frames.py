@@ -93,7 +93,9 @@ def test_scaled_forms_equal_plain_forms(spark, data):
         "occupancy": lambda f: occupancy.occupancy(iv(spark, data).dropDuplicates(["id"]), "key", "s", "e", "id", form=f),
     }
     for name, df in make.items():
-        assert rows(df("plain")) == rows(df("scaled")), name
+        want = rows(df("plain"))
+        assert want == rows(df("scaled")), name
+        assert want == rows(df("fine")), name
 
 
 def test_running_values_cross_slots_with_and_without_frames(spark):

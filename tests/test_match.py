@@ -41,7 +41,7 @@ def test_ambiguous_weak_candidates_are_rejected(spark):
 
 def test_code_map_drops_a_source_whose_commonest_target_is_empty(spark):
     df = spark.createDataFrame([("A", "")] * 3 + [("A", "X")] * 2 + [("B", "Y"), ("B", "Z")] + [("", "W")], "s string, t string")
-    assert rows(groups.code_map(df, "s", "t")) == [("B", "Y")]
+    assert rows(groups.learn_code_map(df, "s", "t")) == [("B", "Y")]
 
 
 def _points(spark, data):

@@ -26,6 +26,7 @@ def test_features_plain_and_scaled_agree(spark, data):
     exact = lambda f: departures.departure_features(mv, form=f).select(
         "id", "dep_queue", "arr_queue", "takeoff_prev15", "landing_prev60", "plan_n60", "sched_dep_60", "turnaround_sec")
     assert exact("plain").exceptAll(exact("scaled")).count() == 0
+    assert exact("plain").exceptAll(exact("fine")).count() == 0
 
 
 def test_weather_age_counts_minute_boundaries(spark):
