@@ -167,9 +167,9 @@ def _by_seconds(instants: DataFrame, keys: Sequence[str], t: str, measures: Sequ
     marks = marks.select(*keys, F.col("m.at").alias("_at"), "_of", F.col("m.edge").alias("_edge"),
                          *[F.lit(None).cast(instants.schema[n].dataType).alias(n) for n in names])
     facts = instants.select(*keys, F.col(t).alias("_at"), F.lit(None).cast("long").alias("_of"), F.lit(None).cast("int").alias("_edge"), *names)
-    group = Window.partitionBy(*keys, "_tick").orderBy("_at")
-    until, since = group.rangeBetween(PAST, 0), group.rangeBetween(0, Window.unboundedFollowing)
-    # One order serves both directions: the rest of a tick is its own window over the same groups.
+    # Both directions run from the start of their own order, so each row adds to a sum and none is computed anew.
+    group = Window.partitionBy(*keys, "_tick")
+    until, since = (group.orderBy(o).rangeBetween(PAST, 0) for o in (F.asc("_at"), F.desc("_at")))
     seen = facts.unionByName(marks).withColumn("_tick", slot_start("_at", tick)).select(
         *keys, "_of", "_edge",
         *[COMBINE[how[n]](n).over(until).alias(f"_to_{n}") for n in sorted({f.measure for f in frames})],
