@@ -135,8 +135,8 @@ def ag13(spark, d):
     FROM ev GROUP BY 1""")
 def ag14(spark, d):
     e = ev(spark, d)
-    return e.groupBy("key").agg(six(F.stddev_samp("val"), "sd"), six(F.corr("val", "k"), "r_k"),
-                                six(F.corr(F.col("val"), F.when(F.col("k") % 3 == 0, F.col("t") / 1_000_000_000)), "r_t"))
+    return e.groupBy("key").agg(six(F.stddev_samp("val"), "sd"), six(S.pearson("val", "k"), "r_k"),
+                                six(S.pearson(F.col("val"), F.when(F.col("k") % 3 == 0, F.col("t") / 1_000_000_000)), "r_t"))
 
 
 @bind("ag15_hit_rate", uses=PR, sql="""

@@ -150,6 +150,13 @@ def safe_ratio(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(_c(a), _c(b))
 
 
+def pearson(x: Column | str, y: Column | str) -> Column:
+    """Correlation over the pairs that are complete; null where a side does not vary."""
+    x, y = _c(x).cast("double"), _c(y).cast("double")
+    both = x.isNotNull() & y.isNotNull()
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))
+
+
 def category(x: Column | str, missing: str = "__NA__") -> Column:
     """Explicit token for a missing category."""
     return F.coalesce(_c(x).cast("string"), F.lit(missing))

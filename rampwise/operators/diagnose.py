@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rampwise.functions.clock import DAY, micros, slot_start
-from rampwise.functions.scalars import bin_by_edges
+from rampwise.functions.scalars import bin_by_edges, pearson
 from rampwise.operators.evaluate import squared
 from rampwise.operators.quantiles import exact_quantiles, ordered_distribution
 from rampwise.operators.scan import neighbours
@@ -19,7 +19,7 @@ def tail_calibration(df: DataFrame, pred: str, y: str, tops: Sequence[float]) ->
     """(top, n, predicted, actual) over the rows with the highest predictions: percent rank <= top."""
     ranked = ordered_distribution(df, pred, {"sy": F.col(y)}, descending=True)
     n = df.where(F.col(pred).isNotNull()).agg(F.count(F.lit(1))).scalar()
-    place = (F.col("run_n") - F.col("n")) / (n - 1)
+    place = F.coalesce(F.try_divide(F.col("run_n") - F.col("n"), n - 1), F.lit(0.0))
     tiers = F.explode(F.array(*[F.lit(float(t)) for t in tops])).alias("top")
     return (ranked.select("*", place.alias("place")).select("*", tiers).where(F.col("place") <= F.col("top"))
             .groupBy("top").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col(pred)) / F.sum("n")).alias("predicted"),
@@ -37,7 +37,7 @@ def error_bands(df: DataFrame, y: str, pred: str, edges: Sequence[float]) -> Dat
     total = df.agg(F.sum(squared(y, pred))).scalar()
     return df.groupBy(bin_by_edges(y, edges).alias("band")).agg(
         F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(squared(y, pred))).alias("rmse"),
-        F.avg(F.col(pred) - F.col(y)).alias("bias"), (F.sum(squared(y, pred)) / total).alias("share"))
+        F.avg(F.col(pred) - F.col(y)).alias("bias"), F.try_divide(F.sum(squared(y, pred)), total).alias("share"))
 
 
 def oracle_gain(df: DataFrame, y: str, pred: str, classes: Mapping[str, Column]) -> DataFrame:
@@ -66,7 +66,7 @@ def oof_group_effect(df: DataFrame, groupings: Mapping[str, Sequence[str]], resi
                                             F.count(residual).alias("n"))
         m = F.coalesce("_m", F.lit(0.0))
         left = F.sum(F.col("ss") - 2 * m * F.col("s") + F.col("n") * m * m)
-        parts.append(cells.join(means, [*keys, half], "left").agg((1 - left / total).alias("explained"))
+        parts.append(cells.join(means, [*keys, half], "left").agg((1 - F.try_divide(left, total)).alias("explained"))
                      .select(F.lit(name).alias("grouping"), "explained"))
     return reduce(DataFrame.unionByName, parts)
 
@@ -80,7 +80,7 @@ def target_encode_oof(df: DataFrame, keys: Sequence[str], y: str, fold: str, smo
     whole = cells.groupBy(*keys).agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
     folds = df.groupBy(fold).agg(F.sum(y).alias("fs"), F.count(y).alias("fn"))
     all_s, all_n = df.agg(F.sum(y)).scalar(), df.agg(F.count(y)).scalar()
-    prior = folds.select(fold, ((all_s - F.col("fs")) / (all_n - F.col("fn"))).alias("prior"))
+    prior = folds.select(fold, F.try_divide(all_s - F.col("fs"), all_n - F.col("fn")).alias("prior"))
     rest_n = F.col("tn") - F.col("n")
     value = (F.col("ts") - F.col("s") + smooth * F.col("prior")) / (rest_n + smooth)
     table = cells.join(whole, list(keys)).join(prior, fold).select(*keys, fold, value.alias(out))
@@ -106,7 +106,7 @@ def shift_transfer(df: DataFrame, site: str, month: str, period: str, y: str, fi
         *[F.avg(F.when(F.col(period) == p, F.col(y))).alias(n) for n, p in (("a", first), ("b", second))])
     both = cells.where(F.col("a").isNotNull() & F.col("b").isNotNull()).withColumn("shift", F.col("b") - F.col("a"))
     centre = both.groupBy(site).agg(F.avg("a").alias("ma"), F.avg("b").alias("mb"))
-    r = both.join(centre, site).agg(F.count(F.lit(1)).alias("cells"), F.corr(F.col("a") - F.col("ma"), F.col("b") - F.col("mb")).alias("r"),
+    r = both.join(centre, site).agg(F.count(F.lit(1)).alias("cells"), pearson(F.col("a") - F.col("ma"), F.col("b") - F.col("mb")).alias("r"),
                                     F.avg(F.abs("shift")).alias("mean_abs_shift"))
     return both, r
 
@@ -122,7 +122,7 @@ def auc(df: DataFrame, score: str, label: Column, top: float = 0.01) -> DataFram
     n = df.where(F.col(score).isNotNull()).agg(F.count(F.lit(1))).scalar()
     caught = F.sum(F.when(F.col("run_n") - F.col("n") + 1 <= top * n, F.col("pos")).otherwise(0))
     return ranked.agg(F.sum("pos").alias("positives"), F.sum(neg).alias("negatives"),
-                      (1 - lost / (F.sum("pos") * F.sum(neg))).alias("auc"), (caught / F.sum("pos")).alias("capture"))
+                      (1 - F.try_divide(lost, F.sum("pos") * F.sum(neg))).alias("auc"), F.try_divide(caught, F.sum("pos")).alias("capture"))
 
 
 def rate_drift(df: DataFrame, keys: Sequence[str], period: str, hit: Column, first, second, min_n: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -131,24 +131,24 @@ def rate_drift(df: DataFrame, keys: Sequence[str], period: str, hit: Column, fir
     rate = lambda p: F.avg(F.when(F.col(period) == p, F.when(hit, 1.0).otherwise(0.0)))
     cells = df.groupBy(*keys).agg(n(first).alias("n_a"), n(second).alias("n_b"), rate(first).alias("a"), rate(second).alias("b"))
     both = cells.where((F.col("n_a") >= min_n) & (F.col("n_b") >= min_n))
-    return both, both.agg(F.count(F.lit(1)).alias("cells"), F.corr("a", "b").alias("r"),
+    return both, both.agg(F.count(F.lit(1)).alias("cells"), pearson("a", "b").alias("r"),
                           F.max(F.abs(F.col("b") - F.col("a"))).alias("max_shift"))
 
 
 def partial_corr(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
     """(r_xy, r_partial) given a control, over rows that have all three."""
     rows = df.dropna(subset=[x, y, z])
-    r = rows.agg(F.corr(x, y).alias("xy"), F.corr(x, z).alias("xz"), F.corr(y, z).alias("yz"))
+    r = rows.agg(pearson(x, y).alias("xy"), pearson(x, z).alias("xz"), pearson(y, z).alias("yz"))
     return r.select(F.col("xy").alias("r_xy"),
-                    ((F.col("xy") - F.col("xz") * F.col("yz")) / F.sqrt((1 - F.pow("xz", F.lit(2))) * (1 - F.pow("yz", F.lit(2))))).alias("r_partial"))
+                    F.try_divide(F.col("xy") - F.col("xz") * F.col("yz"), F.sqrt((1 - F.pow("xz", F.lit(2))) * (1 - F.pow("yz", F.lit(2))))).alias("r_partial"))
 
 
 def bias_removed(df: DataFrame, by: Sequence[str], y: str, pred: str) -> DataFrame:
     """(rmse, rmse_unbiased) with the mean residual of each group taken out, from group sums alone."""
     res = F.col(pred) - F.col(y)
     cells = df.groupBy(*by).agg(F.sum(res).alias("s"), F.sum(res * res).alias("ss"), F.count(res).alias("n"))
-    return cells.agg(F.sqrt(F.sum("ss") / F.sum("n")).alias("rmse"),
-                     F.sqrt(F.sum(F.col("ss") - F.col("s") * F.col("s") / F.col("n")) / F.sum("n")).alias("rmse_unbiased"))
+    return cells.agg(F.sqrt(F.try_divide(F.sum("ss"), F.sum("n"))).alias("rmse"),
+                     F.sqrt(F.try_divide(F.sum(F.col("ss") - F.try_divide(F.col("s") * F.col("s"), F.col("n"))), F.sum("n"))).alias("rmse_unbiased"))
 
 
 def residual_by_class(df: DataFrame, y: str, pred: str, flags: Sequence[str]) -> DataFrame:
@@ -163,7 +163,7 @@ def feature_drift(a: DataFrame, b: DataFrame, features: Sequence[str], silent: f
     almost always null in `b` only.
     """
     def profile(df, side):
-        wide = df.agg(*[F.struct((1 - F.count(c) / F.count(F.lit(1))).alias("null"), F.avg(F.col(c).cast("double")).alias("mean"),
+        wide = df.agg(*[F.struct((1 - F.try_divide(F.count(c), F.count(F.lit(1)))).alias("null"), F.avg(F.col(c).cast("double")).alias("mean"),
                                  F.stddev_samp(F.col(c).cast("double")).alias("sd")).alias(c) for c in features])
         return wide.unpivot([], list(features), "feature", side)
     both = profile(a, "a").join(profile(b, "b"), "feature")
@@ -183,7 +183,7 @@ def sequence_gap(df: DataFrame, key: str, t: str, cls: str, id: str) -> DataFram
 
 def lag_correlation(df: DataFrame, residual: str, previous: str, by: Sequence[str] = ()) -> DataFrame:
     """Correlation of a residual with the mean residual of the hour before."""
-    return df.groupBy(*by).agg(F.count(previous).alias("n"), F.corr(residual, previous).alias("r"))
+    return df.groupBy(*by).agg(F.count(previous).alias("n"), pearson(residual, previous).alias("r"))
 
 
 def configuration_state(df: DataFrame, key: str, t: str, resource: str, id: str, width: int = 1_800_000_000) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rampwise.functions.scalars import bin_by_edges
+from rampwise.functions.scalars import bin_by_edges, pearson
 from rampwise.operators.quantiles import exact_quantiles, ordered_distribution
 
 
@@ -150,8 +150,8 @@ def pareto(df: DataFrame, se: Column, tops: Sequence[float | int]) -> DataFrame:
     n = df.where(se.isNotNull()).agg(F.count(F.lit(1))).scalar()
     limits = [F.lit(t).cast("double") if isinstance(t, int) else F.ceil(F.lit(t) * n).cast("double") for t in tops]
     before = F.col("run_n") - F.col("n")
-    taken = [F.sum(F.least(F.col("n").cast("double"), F.greatest(F.lit(0.0), lim - before)) * F.col("_se"))
-             / F.sum(F.col("n") * F.col("_se")) for lim in limits]
+    taken = [F.try_divide(F.sum(F.least(F.col("n").cast("double"), F.greatest(F.lit(0.0), lim - before)) * F.col("_se")),
+                          F.sum(F.col("n") * F.col("_se"))) for lim in limits]
     names = [str(t) for t in tops]
     return ranked.agg(*[e.alias(f"_{i}") for i, e in enumerate(taken)]).select(F.explode(F.array(*[
         F.struct(F.lit(names[i]).alias("top"), F.col(f"_{i}").alias("share")) for i in range(len(tops))])).alias("x")).select("x.*")
@@ -160,7 +160,7 @@ def pareto(df: DataFrame, se: Column, tops: Sequence[float | int]) -> DataFrame:
 def error_share(df: DataFrame, se: Column, by: Sequence[str]) -> DataFrame:
     """(by, n, share of the squared error)."""
     total = df.agg(F.sum(se)).scalar()
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (F.sum(se) / total).alias("share"))
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.sum(se), total).alias("share"))
 
 
 def histogram(df: DataFrame, value: Column, width: float) -> DataFrame:
@@ -182,6 +182,6 @@ def residual_correlation(df: DataFrame, members: Sequence[str], y: str) -> DataF
     """(left, right, r) of the members' residuals."""
     pairs = [(a, b) for i, a in enumerate(members) for b in members[i + 1:]]
     res = lambda c: F.col(c) - F.col(y)
-    wide = df.agg(*[F.corr(res(a), res(b)).alias(f"{a}|{b}") for a, b in pairs])
+    wide = df.agg(*[pearson(res(a), res(b)).alias(f"{a}|{b}") for a, b in pairs])
     return (wide.unpivot([], [f"{a}|{b}" for a, b in pairs], "pair", "r")
             .select(F.split_part("pair", F.lit("|"), F.lit(1)).alias("left"), F.split_part("pair", F.lit("|"), F.lit(2)).alias("right"), "r"))

@@ -39,8 +39,8 @@ def gap_clustering(dep: DataFrame, arr: DataFrame, form: str = "scaled") -> Data
     three = trailing.trailing_means(both, dep, "site", "t", "kind", "gap", ["A"], "id", 10_800, form=form)
     rows = dep.join(hour, "id", "left").join(three, "id", "left")
     return rows.groupBy("site").agg(
-        F.count(F.lit(1)).alias("n"), F.stddev_samp("gap").alias("sd_gap"), F.corr("gap", "D_mean60").alias("r_previous_gaps"),
-        F.corr("gap", "A_mean60").alias("r_arrival_60"), F.corr("gap", "A_mean180").alias("r_arrival_180"))
+        F.count(F.lit(1)).alias("n"), F.stddev_samp("gap").alias("sd_gap"), S.pearson("gap", "D_mean60").alias("r_previous_gaps"),
+        S.pearson("gap", "A_mean60").alias("r_arrival_60"), S.pearson("gap", "A_mean180").alias("r_arrival_180"))
 
 
 def gap_by_revision(dep: DataFrame, column: str = "d_lobt", bands: Sequence[tuple[float, str]] = BANDS) -> DataFrame:
@@ -52,15 +52,15 @@ def gap_by_revision(dep: DataFrame, column: str = "d_lobt", bands: Sequence[tupl
 
 def gap_correlations(dep: DataFrame) -> DataFrame:
     return dep.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("gap").alias("sd_gap"),
-                   *[F.corr("gap", f"d_{c}").alias(f"r_{c}") for c in ("lobt", "iobt", "eobt")])
+                   *[S.pearson("gap", f"d_{c}").alias(f"r_{c}") for c in ("lobt", "iobt", "eobt")])
 
 
 def gap_nowcast(dep: DataFrame, form: str = "scaled") -> DataFrame:
     """Correlation with means over the other departures of the previous hour."""
     now = trailing.nowcast(dep, "site", "t", ["gap", "d_eobt", "d_lobt"], "id", (3600,), form=form)
     return dep.select("id", "site", "gap").join(now, "id").groupBy("site").agg(
-        F.count(F.lit(1)).alias("n"), F.corr("gap", "gap_mean60").alias("r_previous_gaps"),
-        F.corr("gap", "d_eobt_mean60").alias("r_eobt"), F.corr("gap", "d_lobt_mean60").alias("r_lobt"))
+        F.count(F.lit(1)).alias("n"), S.pearson("gap", "gap_mean60").alias("r_previous_gaps"),
+        S.pearson("gap", "d_eobt_mean60").alias("r_eobt"), S.pearson("gap", "d_lobt_mean60").alias("r_lobt"))
 
 
 def scored_file_audit(raw: DataFrame, tokens: Sequence[str] = ("AOBT", "OBT", "BLOCK"), phase: str = "DEP") -> dict[str, DataFrame]:

@@ -97,3 +97,9 @@ def test_empty_day_leaves_no_folder(spark, tmp_path):
     sinks.write_if_any(df.where("day = 'd3'"), path, "day")
     sinks.write_if_any(df.where("day = 'd1'").withColumn("x", F.lit(7).cast("long")), path, "day")
     assert rows(spark.read.parquet(path), "x", "day") == [(2, "d2"), (7, "d1")]
+
+
+def test_correlation_of_a_constant_is_null(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 3.0), ("b", 1.0, 2.0), ("b", 2.0, 4.0), ("b", None, 9.0), ("c", 5.0, 5.0)],
+                               "g string, x double, y double")
+    assert rows(df.groupBy("g").agg(F.round(S.pearson("x", "y"), 9).alias("r"))) == [("a", None), ("b", 1.0), ("c", None)]

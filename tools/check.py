@@ -28,7 +28,7 @@ def connect(d: str) -> duckdb.DuckDBPyConnection:
 
 
 def _cell(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if v is None or (isinstance(v, float) and math.isnan(v)):  # an undefined ratio is NaN in one engine, null in the other
         return "~null"
     if isinstance(v, bool):
         return str(v)
