@@ -90,7 +90,9 @@ def _documents(spark, d):
     return grouped.select("usr", "base", body.alias("body"))
 
 
-@bind("src6_scan_traces")
+@bind("src6_scan_traces", uses="ev", sql="""
+    SELECT CASE WHEN usr % 25 = 0 THEN 'malformed' END AS error, CAST(count(DISTINCT usr) AS BIGINT) AS files,
+           CAST(count(DISTINCT CASE WHEN usr % 25 <> 0 THEN usr END) AS BIGINT) AS parsed FROM ev GROUP BY 1""")
 def src6(spark, d):
     path = scratch_path(spark, "traces")
     docs = _documents(spark, d)
