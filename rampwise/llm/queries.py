@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rampwise.llm import bpe, decontaminate, quality, sharding, tokens
+from rampwise.llm import bpe, decontaminate, language, quality, sharding, tokens
 from rampwise.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,8 @@ def op5_decontamination(spark: SparkSession, d: str) -> DataFrame:
 def op7_sharding(spark: SparkSession, d: str) -> DataFrame:
     shards = {f"shard-{i:02d}": 1 for i in range(sharding.SHARDS)}
     return sharding.placed(read(spark, d, "documents"), F.col("doc_id"), sharding.lookup(shards), list(shards), ["doc_id", "source"])
+
+
+@query()
+def op10_language(spark: SparkSession, d: str) -> DataFrame:
+    return language.identified(language.from_documents(read(spark, d, "documents")))
