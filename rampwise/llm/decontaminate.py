@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rampwise.llm.common import whole
+from rampwise.session import pinned
 
 WINDOW, GRAM = 10, 5
 #: Separators: all ASCII but digits and small letters, after lower-casing A-Z.
@@ -77,7 +78,7 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, text:
         own = tests.where(F.col("span") == span)
         known = windows_in(marked(own, ["item_id"], span), ["item_id"], span).select("item_id", "print", "win").distinct()
         found = marked(rows, ["doc_id", "h"], span).join(known.select("print").distinct(), "print", "left_semi")
-        met = windows_in(found, ["doc_id", "h"], span).join(known.select("print", "win").distinct(), ["print", "win"], "left_semi")
+        met = pinned(windows_in(found, ["doc_id", "h"], span).join(known.select("print", "win").distinct(), ["print", "win"], "left_semi"))  # hits only; read twice below
         cover = met.select("doc_id", "h", "at", F.lit(span).alias("span"))
         item = met.select("doc_id", "h", "print", "win").distinct().join(known, ["print", "win"]).select("doc_id", "h", "item_id").distinct()
         covers = cover if covers is None else covers.unionByName(cover)
