@@ -48,6 +48,11 @@ def fingerprints(hashes: Column, span: int) -> Column:
         F.array().cast("array<bigint>"))
 
 
+def _exploded(rows: DataFrame, keys: list[str], array: Column, *fields: str) -> DataFrame:
+    """The array's elements as rows. The outer form keeps the optimizer from testing the array, and so making it, once more below."""
+    return rows.select(*keys, F.explode_outer(array).alias("x")).where(F.col("x").isNotNull()).select(*keys, *[f"x.{f}" for f in fields])
+
+
 def marked(rows: DataFrame, keys: list[str], window: int) -> DataFrame:
     """A row for each run of windows with one fingerprint: its hash, first window and words."""
     k = min(GRAM, window)
@@ -57,13 +62,13 @@ def marked(rows: DataFrame, keys: list[str], window: int) -> DataFrame:
     rows = rows.select(*keys, "words", F.size("prints").alias("n"), first.alias("first"))
     run = F.transform("first", lambda x, i: F.struct(x["print"].alias("print"), x["at"].alias("at"), F.slice(
         F.col("words"), x["at"] + 1, F.coalesce(F.get(F.col("first"), i + 1)["at"], F.col("n")) - x["at"] + window - 1).alias("run")))
-    return rows.select(*keys, F.explode(run).alias("r")).select(*keys, "r.print", "r.at", "r.run")
+    return _exploded(rows, keys, run, "print", "at", "run")
 
 
 def windows_in(rows: DataFrame, keys: list[str], window: int) -> DataFrame:
     """A row for each window of the runs, as text."""
     each = F.transform(F.sequence(F.lit(1), F.size("run") - window + 1), lambda i: F.struct((F.col("at") + i - 1).alias("at"), F.concat_ws(" ", F.slice("run", i, window)).alias("win")))
-    return rows.select(*keys, "print", F.explode(each).alias("w")).select(*keys, "print", "w.at", "w.win")
+    return _exploded(rows, [*keys, "print"], each, "at", "win")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
