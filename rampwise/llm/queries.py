@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rampwise.llm import bpe, decontaminate, language, quality, sharding, tokens
+from rampwise.llm import bpe, decontaminate, language, pii, quality, sharding, tokens
 from rampwise.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op1_pii(spark: SparkSession, d: str) -> DataFrame:
+    return pii.spans(read(spark, d, "documents"))
+
+
 @query()
 def op2_bpe(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(read(spark, d, "documents"))
