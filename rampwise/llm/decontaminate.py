@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rampwise.llm.common import whole
+from rampwise.llm.common import on_row, row_hash, whole
 from rampwise.session import pinned
 
 WINDOW, GRAM = 10, 5
@@ -71,10 +71,13 @@ def windows_in(rows: DataFrame, keys: list[str], window: int) -> DataFrame:
     return _exploded(rows, [*keys, "print"], each, "at", "win")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole(text).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("h"), words_of(F.col("text")).alias("words"))
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash().alias("h"), words_of(whole()).alias("words"))
+
+
+def found_in(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, h, n_hit and the sorted item ids of documents with a hit."""
+    rows = _rows(docs)
     tests = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(whole()).alias("words")).where(F.size("words") > 0)
     tests = tests.withColumn("span", F.least(F.size("words"), F.lit(window)))
     spans = sorted({r[0] for r in tests.select("span").distinct().collect()} | {window})  # at most `window` numbers
@@ -96,9 +99,19 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, text:
     covers = covers.groupBy("doc_id", "h").agg(n_hit.alias("n_hit"))
     ids = F.array_sort(F.collect_set("item_id"))
     item_hits = item_hits.groupBy("doc_id", "h").agg(ids.alias("ids"))
-    both = covers.join(item_hits, (covers.doc_id.eqNullSafe(item_hits.doc_id)) & (covers.h == item_hits.h), "left").select(
-        covers.doc_id.alias("d"), covers.h.alias("g"), "n_hit", "ids")
-    counts = rows.select("doc_id", "h", F.size("words").cast("long").alias("n_words"))
+    return covers.join(item_hits, (covers.doc_id.eqNullSafe(item_hits.doc_id)) & (covers.h == item_hits.h), "left").select(
+        covers.doc_id.alias("doc_id"), covers.h.alias("h"), "n_hit", "ids")
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents without a hit, with all their columns."""
+    return on_row(docs, pinned(found_in(docs, items, window).select("doc_id", "h")), "left_anti")
+
+
+def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
+    both = found_in(docs, items, window).withColumnsRenamed({"doc_id": "d", "h": "g"})
+    counts = _rows(docs).select("doc_id", "h", F.size("words").cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     return counts.join(both, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),

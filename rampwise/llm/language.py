@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rampwise.llm.common import only, slices, whole
+from rampwise.llm.common import on_row, only, row_hash, slices, whole
 from rampwise.session import pinned
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -164,6 +164,12 @@ def from_documents(docs: DataFrame) -> DataFrame:
     return d.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lower(F.substring("lang", 1, 2)).alias("declared"), none.alias("suffix"), none.alias("domain"), F.col("source").alias("host"))
 
 
+def kept(docs: DataFrame) -> DataFrame:
+    """The documents that have a language, with all their columns."""
+    told = identified(from_documents(docs).withColumn("h", row_hash()))
+    return on_row(docs, pinned(told.where(~F.col("kept")).select("doc_id", "h").distinct()), "left_anti")
+
+
 def from_pages(pages: DataFrame) -> DataFrame:
     """Evidence of pages: markup's language, and the address's suffix, domain and host; text is the markup without tags."""
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))

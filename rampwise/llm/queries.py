@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rampwise.llm import bpe, decontaminate, language, pii, quality, sharding, tokens
+from rampwise.llm import bpe, decontaminate, jaccard, language, pii, quality, sharding, tokens
 from rampwise.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +74,11 @@ def op7_sharding(spark: SparkSession, d: str) -> DataFrame:
     return sharding.placed(read(spark, d, "documents"), F.col("doc_id"), sharding.lookup(shards), list(shards), ["doc_id", "source"])
 
 
+@query()
+def op8_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard.linked(read(spark, d, "documents"))
+
+
 @query()
 def op10_language(spark: SparkSession, d: str) -> DataFrame:
     return language.identified(language.from_documents(read(spark, d, "documents")))
