@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rampwise.llm import bpe, decontaminate, jaccard, language, pii, quality, sharding, tokens
+from rampwise.llm import bpe, decontaminate, jaccard, language, pii, quality, sharding, tokens, warc
 from rampwise.llm.common import read
+from rampwise.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,6 +80,22 @@ def op8_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return jaccard.linked(read(spark, d, "documents"))
 
 
+WARC_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, unhex(sha1(coalesce(html, ''))) AS h, coalesce(html, '') AS body FROM pages),
+bits AS (SELECT page_id, n, body, CAST(h AS BIT) AS b FROM p),
+digest AS (SELECT page_id, n, body, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+             1 + CAST(list_sum(list_transform(range(5), lambda j: get_bit(b, CAST(5 * i + j AS INTEGER)) * (16 >> CAST(j AS INTEGER)))) AS INTEGER), 1)), '') AS d FROM bits),
+head AS (SELECT body, max(page_id) AS top FROM p GROUP BY body)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM digest JOIN head USING (body)"""
+
+
+@query(WARC_SQL)
+def op9_warc(spark: SparkSession, d: str) -> DataFrame:
+    return warc.archived(read(spark, d, "pages"), scratch_path(spark, "warc"))
+
+
 @query()
 def op10_language(spark: SparkSession, d: str) -> DataFrame:
     return language.identified(language.from_documents(read(spark, d, "documents")))
