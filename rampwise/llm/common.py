@@ -89,7 +89,7 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """r^i and r^-i modulo 2^64 for i < n."""
     if len(_powers[0]) < n:
         inverse = pow(_BASE, -1, 2**64)
@@ -120,7 +120,7 @@ def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     last[:-1] |= space[1:]
     last &= ~space
     a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _power(n)
+    up, down = powers(n)
     with np.errstate(over="ignore"):
         run = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[data] * up, out=run[1:])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rampwise.llm import bpe, decontaminate, jaccard, language, pii, quality, sharding, tokens, warc
+from rampwise.llm import bpe, decontaminate, jaccard, language, pii, quality, repeats, sharding, tokens, warc
 from rampwise.llm.common import read
 from rampwise.session import scratch_path
 
@@ -69,6 +69,11 @@ def op5_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, d, "documents"), read(spark, d, "benchmark"))
 
 
+@query()
+def op6_repeats(spark: SparkSession, d: str) -> DataFrame:
+    return repeats.without_repeats(read(spark, d, "documents"))
+
+
 @query()
 def op7_sharding(spark: SparkSession, d: str) -> DataFrame:
     shards = {f"shard-{i:02d}": 1 for i in range(sharding.SHARDS)}
