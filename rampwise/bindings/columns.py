@@ -68,11 +68,11 @@ def src5(spark, d):
     return rows.select("station", "code", S.parse_sentinel("p01i", {"T": 0.001}).alias("precip"))
 
 
-def _documents(spark, d):
+def _documents(spark, d, daily: bool = True):
     """One document per user and day, in the shape of a trace file."""
     p = pt(spark, d)
     day = 86_400_000_000
-    p = p.withColumn("base", (F.col("t") - F.pmod("t", F.lit(day))) / 1_000_000)
+    p = p.withColumn("base", ((F.col("t") - F.pmod("t", F.lit(day))) / 1_000_000) if daily else F.lit(0.0))
     entry = F.concat(
         F.lit("["), F.concat_ws(
             ",", (F.col("t") / 1_000_000 - F.col("base")).cast("decimal(20,6)").cast("string"),
@@ -92,17 +92,19 @@ def _documents(spark, d):
 
 @bind("src6_scan_traces", uses="ev", sql="""
     SELECT CASE WHEN usr % 25 = 0 THEN 'malformed' END AS error, CAST(count(DISTINCT usr) AS BIGINT) AS files,
-           CAST(count(DISTINCT CASE WHEN usr % 25 <> 0 THEN usr END) AS BIGINT) AS parsed FROM ev GROUP BY 1""")
+           CAST(count(DISTINCT CASE WHEN usr % 25 <> 0 THEN usr END) AS BIGINT) AS parsed,
+           CAST(count(CASE WHEN usr % 25 <> 0 AND id % 50 <> 0 AND id % 37 <> 0 THEN 1 END) AS BIGINT) AS points FROM ev GROUP BY 1""")
 def src6(spark, d):
     path = scratch_path(spark, "traces")
-    docs = _documents(spark, d)
-    whole = docs.groupBy("usr").agg(F.max_by("body", "base").alias("body"))
+    whole = _documents(spark, d, daily=False)
     cut = F.when(F.col("usr") % 25 == 0, F.substring("body", 1, 20)).otherwise(F.col("body"))
     (whole.select("usr", cut.alias("body")).repartition("usr").write.partitionBy("usr")
      .option("compression", "gzip").text(path))
     out = traces.scan_traces(spark, path, "*")
-    return out.where(~F.col("path").endswith("_SUCCESS")).groupBy("error").agg(
-        F.count(F.lit(1)).alias("files"), F.count("doc").alias("parsed"))
+    out = out.where(~F.col("path").endswith("_SUCCESS"))
+    points = traces.explode_points(out.where("doc IS NOT NULL")).agg(F.count(F.lit(1))).scalar()
+    return out.groupBy("error").agg(F.count(F.lit(1)).alias("files"), F.count("doc").alias("parsed"),
+                                    F.when(F.count("doc") > 0, points).otherwise(F.lit(0)).cast("long").alias("points"))
 
 
 @bind("src7_explode_points", uses="ev pt", sql="""
@@ -412,15 +414,12 @@ def jn9(spark, d):
 
 
 @bind("jn10_difference_counts", sql="""
-    SELECT CAST((SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')) AS BIGINT) AS missing,
-           CAST((SELECT count(*) FROM orders WHERE o_orderstatus = 'P' AND o_custkey NOT IN
-                 (SELECT c_custkey FROM customer WHERE c_nationkey < 20)) AS BIGINT) AS extra""")
+    SELECT CAST((SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey + 10 FROM orders)) AS BIGINT) AS missing,
+           CAST((SELECT count(*) FROM orders WHERE o_custkey + 10 NOT IN (SELECT c_custkey FROM customer)) AS BIGINT) AS extra""")
 def jn10(spark, d):
     c = table(spark, d, "customer")
-    pending = table(spark, d, "orders").where("o_orderstatus = 'P'").withColumnRenamed("o_custkey", "c_custkey")
-    missing = setops.difference_counts(c, pending, "c_custkey").select("missing")
-    return missing.select("missing", setops.difference_counts(c.where("c_nationkey < 20"), pending, "c_custkey")
-                          .select("extra").scalar().alias("extra"))
+    orders = table(spark, d, "orders").select((F.col("o_custkey") + 10).alias("c_custkey"))
+    return setops.difference_counts(c, orders, "c_custkey").select("missing", "extra")
 
 
 @bind("jn11_membership", sql="""

@@ -18,7 +18,7 @@ from rampwise.operators.scan import neighbours
 def tail_calibration(df: DataFrame, pred: str, y: str, tops: Sequence[float]) -> DataFrame:
     """(top, n, predicted, actual) over the rows with the highest predictions: percent rank <= top."""
     ranked = ordered_distribution(df, pred, {"sy": F.col(y)}, descending=True)
-    n = df.where(F.col(pred).isNotNull()).agg(F.count(F.lit(1))).scalar()
+    n = ranked.agg(F.sum("n")).scalar()
     place = F.coalesce(F.try_divide(F.col("run_n") - F.col("n"), n - 1), F.lit(0.0))
     tiers = F.explode(F.array(*[F.lit(float(t)) for t in tops])).alias("top")
     return (ranked.select("*", place.alias("place")).select("*", tiers).where(F.col("place") <= F.col("top"))
@@ -34,10 +34,10 @@ def bands(df: DataFrame, by: str, edges: Sequence[float], values: Mapping[str, C
 
 def error_bands(df: DataFrame, y: str, pred: str, edges: Sequence[float]) -> DataFrame:
     """(band, n, rmse, bias, share of squared error) by true value."""
-    total = df.agg(F.sum(squared(y, pred))).scalar()
-    return df.groupBy(bin_by_edges(y, edges).alias("band")).agg(
+    made = df.groupBy(bin_by_edges(y, edges).alias("band")).agg(
         F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(squared(y, pred))).alias("rmse"),
-        F.avg(F.col(pred) - F.col(y)).alias("bias"), F.try_divide(F.sum(squared(y, pred)), total).alias("share"))
+        F.avg(F.col(pred) - F.col(y)).alias("bias"), F.sum(squared(y, pred)).alias("_s"))
+    return made.select("band", "n", "rmse", "bias", F.try_divide("_s", made.agg(F.sum("_s")).scalar()).alias("share"))
 
 
 def oracle_gain(df: DataFrame, y: str, pred: str, classes: Mapping[str, Column]) -> DataFrame:
@@ -119,7 +119,7 @@ def auc(df: DataFrame, score: str, label: Column, top: float = 0.01) -> DataFram
     neg = F.col("n") - F.col("pos")
     # A pair is lost for every negative above; half for every tied one.
     lost = F.sum(F.col("pos") * (above + neg / 2))
-    n = df.where(F.col(score).isNotNull()).agg(F.count(F.lit(1))).scalar()
+    n = ranked.agg(F.sum("n")).scalar()
     caught = F.sum(F.when(F.col("run_n") - F.col("n") + 1 <= top * n, F.col("pos")).otherwise(0))
     return ranked.agg(F.sum("pos").alias("positives"), F.sum(neg).alias("negatives"),
                       (1 - F.try_divide(lost, F.sum("pos") * F.sum(neg))).alias("auc"), F.try_divide(caught, F.sum("pos")).alias("capture"))

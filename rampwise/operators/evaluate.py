@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rampwise.functions.scalars import bin_by_edges, pearson
-from rampwise.operators.quantiles import exact_quantiles, ordered_distribution
+from rampwise.operators.quantiles import exact_quantiles, known, ordered_distribution
 
 
 def squared(y: str, pred: str) -> Column:
@@ -138,16 +138,19 @@ def check_output(out: DataFrame, template: DataFrame, id: str, value: str) -> Da
 
 
 def leaderboard(df: DataFrame, team: str, score: str) -> DataFrame:
-    """(rank, team, best, submissions): smallest score per team; teams without a score are unranked."""
-    best = df.groupBy(team).agg(F.min(score).alias("best"), F.count(F.lit(1)).alias("submissions")).where(F.col("best").isNotNull())
+    """(rank, team, best, submissions): smallest score per team; teams without a score, or with NaN alone, are unranked."""
+    best = df.groupBy(team).agg(F.min(score).alias("best"), F.count(F.lit(1)).alias("submissions")).where(known("best", dict(df.dtypes)[score]))
     places = ordered_distribution(best, "best").select("best", (F.col("run_n") - F.col("n") + 1).alias("rank"))
     return best.join(places, "best").select("rank", team, "best", "submissions")
 
 
 def pareto(df: DataFrame, se: Column, tops: Sequence[float | int]) -> DataFrame:
-    """(top, share): part of the squared error in the worst rows; an int is a number of rows, a float a fraction."""
+    """(top, share): part of the squared error in the worst rows; an int is a number of rows, a float a fraction.
+
+    Rows whose error is null or NaN are left out.
+    """
     ranked = ordered_distribution(df.withColumn("_se", se), "_se", descending=True)
-    n = df.where(se.isNotNull()).agg(F.count(F.lit(1))).scalar()
+    n = ranked.agg(F.sum("n")).scalar()
     limits = [F.lit(t).cast("double") if isinstance(t, int) else F.ceil(F.lit(t) * n).cast("double") for t in tops]
     before = F.col("run_n") - F.col("n")
     taken = [F.try_divide(F.sum(F.least(F.col("n").cast("double"), F.greatest(F.lit(0.0), lim - before)) * F.col("_se")),
@@ -159,8 +162,8 @@ def pareto(df: DataFrame, se: Column, tops: Sequence[float | int]) -> DataFrame:
 
 def error_share(df: DataFrame, se: Column, by: Sequence[str]) -> DataFrame:
     """(by, n, share of the squared error)."""
-    total = df.agg(F.sum(se)).scalar()
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.sum(se), total).alias("share"))
+    made = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(se).alias("_s"))
+    return made.select(*by, "n", F.try_divide("_s", made.agg(F.sum("_s")).scalar()).alias("share"))
 
 
 def histogram(df: DataFrame, value: Column, width: float) -> DataFrame:

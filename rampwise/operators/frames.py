@@ -60,16 +60,6 @@ class Running:
     exclusive: bool = False
 
 
-def form_for(df: DataFrame, keys: Sequence[str], t: str, width: int = 3 * HOUR, limit: int = 10_000_000) -> str:
-    """`fine` where some slot of a key holds more than `limit` distinct instants, else `scaled`.
-
-    One pass over the keys and the time with mergeable distinct counts; a single number comes back.
-    """
-    slots = df.groupBy(*keys, slot_start(micros(df, t), width).alias("_s")).agg(F.approx_count_distinct(t).alias("n"))
-    most = slots.agg(F.max("n")).first()[0] or 0
-    return "fine" if most > limit else "scaled"
-
-
 def count_where(condition: Column) -> Column:
     return F.when(condition, F.lit(1)).otherwise(F.lit(0)).cast("long")
 

@@ -78,10 +78,9 @@ def cell_rate(df: DataFrame, keys: Sequence[str], y: str, d: str, tol: float = 6
 
 
 def share_of_total(df: DataFrame, keys: Sequence[str], out: str = "share") -> DataFrame:
-    """(keys, n, share): the total is a second, tiny aggregate over the groups."""
+    """(keys, n, share): the total is a second aggregate, over the groups."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("t")).scalar()
-    return counts.withColumn(out, F.col("n") / total)
+    return counts.withColumn(out, F.col("n") / counts.agg(F.sum("n")).scalar())
 
 
 def learn_code_map(df: DataFrame, source: str, target: str) -> DataFrame:

@@ -4,54 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rampwise.operators.scan import PAST, running_sums
+from rampwise.operators.scan import running_sums
+from rampwise.session import pinned
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
-                    accuracy: int = 10_000, whole: int = 200_000) -> DataFrame:
-    """(keys, n, one column per quantile), interpolated, nulls skipped.
+def known(value: str | Column, kind: str = "double") -> Column:
+    """Neither null nor NaN: what quantiles and orders look at."""
+    c = F.col(value) if isinstance(value, str) else value
+    return c.isNotNull() & ~F.isnan(c.cast("double")) if kind in ("double", "float") else c.isNotNull()
 
-    A group of up to `whole` rows is aggregated as it is.  For a larger one a mergeable sketch brackets each
-    quantile (its rank error is at most n/accuracy); only the distinct values inside the bracket are put in
-    order, with the count below it.  Both ways are exact.
+
+def _in_ranges(counts: DataFrame, *order: Column, blocks: int | None = None) -> DataFrame:
+    """The rows dealt to ranges of their order, with the range's number `_block`; written once, so that each later use sees the same ranges."""
+    dealt = counts.repartitionByRange(*order) if blocks is None else counts.repartitionByRange(blocks, *order)
+    return pinned(dealt.withColumn("_block", F.spark_partition_id()))
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+    """(keys, n, one column per quantile), interpolated, nulls and NaN skipped.
+
+    The rows are reduced once to (keys, value, count). These are dealt to ranges of (keys, value) and
+    counted in two levels, within a range and over the ranges before, so a group of any size is spread over tasks.
     """
-    group = list(keys)
-    rows = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("v"))
-    if not group:
-        group, rows = ["_all"], rows.withColumn("_all", F.lit(1))
-    for k in group:  # null is a group too, but never equal in a join
-        rows = rows.withColumn(f"_k{k}", F.struct(F.col(k)))
-    join_keys = [f"_k{k}" for k in group]
-    counts = rows.groupBy(*group, *join_keys).agg(F.count(F.lit(1)).alias("n"))
-    large = counts.where(F.col("n") > whole)
     names = list(probs)
-    small = (rows.join(large.select(*join_keys), join_keys, "left_anti").groupBy(*group)
-             .agg(F.count(F.lit(1)).alias("n"), F.percentile("v", [probs[q] for q in names]).alias("_q"))
-             .select(*group, "n", *[F.col("_q")[i].alias(q) for i, q in enumerate(names)]))
-    hot = rows.join(large.select(*join_keys, "n"), join_keys)
-    margin = 3.0 / accuracy
-    cuts = hot.groupBy(*group, *join_keys, "n").agg(*[
-        F.percentile_approx("v", [max(0.0, probs[q] - margin), min(1.0, probs[q] + margin)], accuracy).alias(f"_c{i}")
-        for i, q in enumerate(names)])
-    ask = F.array(*[F.struct(F.lit(i).alias("q"), (F.lit(probs[q]) * (F.col("n") - 1)).alias("place"),
-                             F.col(f"_c{i}")[0].alias("low"), F.col(f"_c{i}")[1].alias("high")) for i, q in enumerate(names)])
-    asked = cuts.select(*join_keys, F.explode(ask).alias("a")).select(*join_keys, "a.*")
-    seen = (hot.join(asked, join_keys).where(F.col("v") <= F.col("high"))
-            .groupBy(*group, "n", "q", "place", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v"))
-            .agg(F.count(F.lit(1)).alias("c")))
-    # The null value stands for everything below the bracket and sorts first.
-    order = Window.partitionBy(*group, "q").orderBy(F.col("v").asc_nulls_first()).rowsBetween(PAST, 0)
-    placed = seen.withColumn("upto", F.sum("c").over(order))
-    first, second = F.floor("place"), F.ceil("place")
-    at = lambda k: F.max(F.when((F.col("upto") > k) & (F.col("upto") - F.col("c") <= k), F.col("v")))
-    picked = placed.groupBy(*group, "n", "q", "place").agg(at(first).alias("a"), at(second).alias("b"))
-    exact = F.col("a") + (F.col("b") - F.col("a")) * (F.col("place") - first)
-    big = picked.groupBy(*group, "n").agg(*[F.max(F.when(F.col("q") == i, exact)).alias(q) for i, q in enumerate(names)])
-    return small.unionByName(big.select(*group, "n", *names)).select(*keys, "n", *names)
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(known("_v"))
+    counts = _in_ranges(rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")), *[F.col(k) for k in keys], F.col("_v"))
+    for k in keys:  # null is a group too, but never equal in a join
+        counts = counts.withColumn(f"_k{k}", F.struct(F.col(k)))
+    group = [f"_k{k}" for k in keys]
+    upto = running_sums(counts, group, "_block", ["_v"], ["_c"])
+    if keys:
+        upto = upto.join(counts.groupBy(*group).agg(F.sum("_c").alias("n")), group)
+    else:
+        upto = upto.withColumn("n", counts.agg(F.sum("_c")).scalar())
+    made: list[Column] = []
+    for q in names:
+        place = F.lit(float(probs[q])) * (F.col("n") - 1)
+        at = lambda k: F.max(F.when((F.col("run__c") > k) & (F.col("run__c") - F.col("_c") <= k), F.col("_v")))
+        a, b, part = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
+        made.append((a + (b - a) * part).alias(q))
+    return upto.groupBy(*keys).agg(F.max("n").alias("n"), *made).where("n IS NOT NULL")
 
 
 def medians(rows: DataFrame, keys: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
@@ -64,21 +59,13 @@ def medians(rows: DataFrame, keys: Sequence[str], values: Mapping[str, Column])
 
 def ordered_distribution(df: DataFrame, value: str, sums: Mapping[str, Column] | None = None,
                          descending: bool = False, blocks: int | None = None) -> DataFrame:
-    """One row per distinct value: n, the sums, and their inclusive running totals run_<name>.
+    """One row per distinct value: n, the sums, and their inclusive running totals run_<name>; nulls and NaN are left out.
 
-    The order is global, so values are dealt to blocks at sketched quantiles and summed in two levels.
-    There are four blocks per shuffle partition, at most 8192: those few numbers pass through the driver.
+    The order is global: values are dealt to ranges, as many as the session has shuffle partitions, and summed in two levels.
     """
-    if blocks is None:
-        blocks = min(8192, max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     sums = dict(sums or {})
-    rows = df.where(F.col(value).isNotNull())
-    sign = -1 if descending else 1
-    counts = (rows.groupBy(value).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
-              .withColumn("_order", (F.col(value) * sign).cast("double")))
-    grid = [i / blocks for i in range(1, blocks)]
-    cut = counts.agg(F.percentile_approx("_order", grid, 10 * blocks).alias("c")).first()["c"] or []
-    splits = [float("-inf"), *sorted(set(cut)), float("inf")]
-    placed = (Bucketizer(splits=splits, inputCol="_order", outputCol="_block").transform(counts)
-              if len(splits) > 2 else counts.withColumn("_block", F.lit(0.0)))
-    return running_sums(placed, [], "_block", ["_order"], ["n", *sums]).drop("_block", "_order")
+    kind = dict(df.dtypes)[value]
+    counts = df.where(known(value, kind)).groupBy(value).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
+    order = F.col(value).desc() if descending else F.col(value).asc()
+    placed = _in_ranges(counts, order, blocks=blocks)
+    return running_sums(placed, [], "_block", [order], ["n", *sums]).drop("_block")

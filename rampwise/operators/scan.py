@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 PAST = Window.unboundedPreceding
 
 
-def running_sums(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str],
+def running_sums(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str | Column],
                  values: Sequence[str], prefix: str = "run_") -> DataFrame:
     """Inclusive running sum of each of `values` per key, in `order`."""
     inside = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(PAST, 0)

@@ -33,7 +33,7 @@ def segments(points: DataFrame, entity: str = "entity", max_gap: float = 1800, b
     `max_gap` seconds before; an airborne or off-site point ends it.
     """
     stepped = with_step(points, entity, block)
-    here = F.col("ground") & F.col("site").isNotNull()
+    here = F.coalesce("ground", F.lit(False)) & F.col("site").isNotNull()
     goes_on = (F.col("prev.ground") & (F.col("prev.site") == F.col("site"))
                & (F.col("t") - F.col("prev.t") <= max_gap))
     opens = F.when(here & ~F.coalesce(goes_on, F.lit(False)), 1).otherwise(0).cast("long")
@@ -61,7 +61,7 @@ def summarise(runs: DataFrame, entity: str = "entity", moving: float = 3, min_po
 
 def next_after(summary: DataFrame, within: float = 1200) -> DataFrame:
     """Adds t_first_air: the point right after the run, if airborne and not too late."""
-    lifted = ~F.col("after.ground") & (F.col("after.t") - F.col("t_last_ground") <= within)
+    lifted = ~F.coalesce("after.ground", F.lit(False)) & (F.col("after.t") - F.col("t_last_ground") <= within)
     return summary.withColumn("t_first_air", F.when(lifted, F.col("after.t"))).drop("after")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rampwise.functions import scalars as S
 from rampwise.functions.clock import DAY, SECOND, micros, slot_start, span
 from rampwise.operators import asof, setops, trailing
-from rampwise.operators.frames import Frame, Measure, Running, form_for, instant_frames
+from rampwise.operators.frames import Frame, Measure, Running, instant_frames
 from rampwise.operators.scan import tie_rank
 
 # Fixed names of the movement table's columns.
@@ -122,13 +122,11 @@ def site_moments(mv: DataFrame, windows: Sequence[float] = (900, 1800, 3600), fo
 
 
 def departure_features(mv: DataFrame, windows: Sequence[float] = (900, 1800, 3600), with_target: bool = True,
-                       form: str | None = None) -> DataFrame:
+                       form: str = "fine") -> DataFrame:
     """One row per departure with about thirty features; `mv` comes from `canonical`.
 
-    A departure's own start and target are never read, so blanking them changes no feature.  Without a `form`
-    the density of the instants decides.
+    A departure's own start and target are never read, so blanking them changes no feature.
     """
-    form = form or form_for(mv, ["site"], "fin")
     dep = mv.where("phase = 'DEP'")
     gap = lambda a, b: S.seconds_between(mv, a, b)
     base = dep.select(

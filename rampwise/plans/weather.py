@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from rampwise.functions import scalars as S
 from rampwise.functions.clock import micros
 from rampwise.operators import asof, trailing
-from rampwise.operators.frames import form_for
 
 REPORT_COLUMNS = ["station", "valid", "tmpc", "dwpc", "vsby", "sknt", "drct", "p01i", "wxcodes"]
 # Present-weather codes that matter for de-icing.
@@ -42,13 +41,12 @@ def rolling_state(obs: DataFrame, cold: float = 3.0, spell_codes=SPELL_CODES, fo
 
 def weather_features(movements: DataFrame, obs: DataFrame, max_age_min: float = 90, cold: float = 3.0, low_vis: float = 1.5,
                      tie: str | None = None, spell_codes=SPELL_CODES, instant_codes=INSTANT_CODES,
-                     snow: str = "SN", freezing: str = "FZ", form: str | None = None) -> DataFrame:
+                     snow: str = "SN", freezing: str = "FZ", form: str = "fine") -> DataFrame:
     """(id, wx_*): 18 columns from the latest observation at or before the finish time.
 
     Null where that observation is older than `max_age_min` minute boundaries.  A site that was never
     above freezing reads 240 hours since thaw.
     """
-    form = form or form_for(obs, ["site"], "t")
     known = obs.withColumn("t_us", micros(obs, "t")).where(F.col("t_us").isNotNull())
     rolled = rolling_state(obs, cold, spell_codes, form)
     wx, rain = F.col("wx"), F.coalesce("precip_in", F.lit(0.0))

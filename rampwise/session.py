@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local: list[str] = []
+
+
 def local_session(app: str = "rampwise", cores: str | int = 8, partitions: int = 8) -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
     spark = (
@@ -37,12 +41,16 @@ def pin_utc(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: `spark.checkpoint.dir`.
 
-    Only where the session names none (tests, local runs) one is made.
+    Only a local session that names none (tests, local runs) gets one made, for as long as the process lives.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        named = os.environ.get("RAMPWISE_LOCAL_SCRATCH") or tempfile.mkdtemp(prefix="rampwise-")
-        os.environ["RAMPWISE_LOCAL_SCRATCH"] = named
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="rampwise-"))
+            atexit.register(shutil.rmtree, _local[0], True)
+        named = _local[0]
         spark.sparkContext.setCheckpointDir(named)
     return named
 

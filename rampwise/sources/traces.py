@@ -42,7 +42,8 @@ def explode_points(docs: DataFrame, doc: str = "doc", base: str = "$.timestamp",
                    min_fields: int = 9) -> DataFrame:
     """One row per usable entry [dt, lat, lon, alt|"ground", gs, track, flags, vrate, details].
 
-    Short entries and entries without a position are left out; an absent base counts as 0.
+    Short entries and entries without a position are left out; an absent base counts as 0. Whatever is
+    not the word ground is in the air, a missing altitude too; an empty callsign is none.
     `t` is in epoch seconds, `seq` the place in the array.
     """
     d = F.col(doc)
@@ -58,7 +59,7 @@ def explode_points(docs: DataFrame, doc: str = "doc", base: str = "$.timestamp",
             .select("hex", "actype", "reg", F.col("seq").cast("long").alias("seq"),
                     (F.col("t0") + get("$[0]", "double")).alias("t"),
                     get("$[1]", "double").alias("lat"), get("$[2]", "double").alias("lon"),
-                    (get("$[3]", "string") == "ground").alias("ground"), get("$[4]", "double").alias("gs"),
+                    F.coalesce(get("$[3]", "string") == "ground", F.lit(False)).alias("ground"), get("$[4]", "double").alias("gs"),
                     get("$[5]", "double").alias("track"),
                     (F.coalesce(get("$[6]", "long"), F.lit(0)).bitwiseAND(1) == 1).alias("stale"),
-                    F.trim(get("$[8].flight", "string")).alias("callsign")))
+                    F.nullif(F.trim(get("$[8].flight", "string")), F.lit("")).alias("callsign")))

@@ -1,9 +1,11 @@
 """Two-level scans with small blocks against ordinary windows."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rampwise.bindings.registry import ev
+from rampwise.operators import diagnose, evaluate
 from rampwise.operators.quantiles import exact_quantiles, ordered_distribution
 from rampwise.operators.scan import neighbours, running_sums, tie_rank
 from tests.conftest import rows
@@ -31,23 +33,30 @@ def test_tie_rank(spark, data):
     assert rows(tie_rank(e, ["kind"], "id", width=50), "id", "tie_rank") == rows(want)
 
 
-def test_quantiles_through_the_bracket(spark, data):
-    """Every group is taken for a large one, so the sketch and the bracket decide."""
+def test_quantiles_equal_sorted_ones(spark, data):
     e = ev(spark, data).withColumn("val", F.when(F.col("id") % 9 != 0, F.col("val")))
     probs = {"low": 0.0, "med": 0.5, "p90": 0.9, "top": 1.0}
     want = e.groupBy("kind").agg(F.count("val").alias("n"), *[F.percentile("val", p).alias(q) for q, p in probs.items()])
-    for whole, accuracy in ((0, 200), (10**9, 10_000)):
-        got = exact_quantiles(e, ["kind"], "val", probs, accuracy, whole)
-        close = got.join(want.withColumnsRenamed({q: f"w_{q}" for q in ["n", *probs]}), "kind")
-        assert close.count() == 5
-        assert all(close.where(F.abs(F.col(q) - F.col(f"w_{q}")) > 1e-9).count() == 0 for q in ["n", *probs])
+    got = exact_quantiles(e, ["kind"], "val", probs)
+    close = got.join(want.withColumnsRenamed({q: f"w_{q}" for q in ["n", *probs]}), "kind")
+    assert close.count() == 5
+    assert all(close.where(F.abs(F.col(q) - F.col(f"w_{q}")) > 1e-9).count() == 0 for q in ["n", *probs])
 
 
 def test_quantiles_of_null_groups_and_of_everything(spark):
-    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0), ("a", None)], "g string, v double")
-    for whole in (0, 10):
-        assert rows(exact_quantiles(df, ["g"], "v", {"m": 0.5}, whole=whole)) == [("a", 1, 5.0), (None, 2, 2.0)]
-        assert rows(exact_quantiles(df, [], "v", {"m": 0.5}, whole=whole)) == [(3, 3.0)]
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0), ("a", None), ("a", float("nan"))], "g string, v double")
+    assert rows(exact_quantiles(df, ["g"], "v", {"m": 0.5})) == [("a", 1, 5.0), (None, 2, 2.0)]
+    assert rows(exact_quantiles(df, [], "v", {"m": 0.5})) == [(3, 3.0)]
+    assert rows(exact_quantiles(df.where("v < 0"), [], "v", {"m": 0.5})) == []
+
+
+def test_orders_leave_nan_out_and_keep_large_numbers_apart(spark):
+    df = spark.createDataFrame([(1, 0.1), (0, 0.2), (1, 0.3), (0, float("nan")), (1, None)], "y int, s double")
+    got = diagnose.auc(df, "s", F.col("y") == 1).first()
+    assert (got["positives"], got["negatives"], got["auc"]) == (2, 1, 0.5)
+    assert evaluate.pareto(df, F.col("s"), [1]).first()["share"] == pytest.approx(0.5)
+    big = spark.createDataFrame([(2**60,), (2**60 + 1,)], "v long")
+    assert rows(ordered_distribution(big, "v"), "v", "run_n") == [(2**60, 1), (2**60 + 1, 2)]
 
 
 def test_ordered_distribution(spark, data):
