@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rampwise.session import pin_utc
+from rampwise.session import pin_utc, scratch_path
 
 WHITE = "\\x20\\x09-\\x0D"
 
@@ -59,6 +59,13 @@ def on_row(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
     return docs.join(m, docs["doc_id"].cast("long").eqNullSafe(m["_mark_id"]) & (row_hash() == m["_mark_h"]), how)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The rows written as Parquet in the shared folder and read again: narrower than a checkpoint where rows are small."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def digest(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
