@@ -48,6 +48,11 @@ def whole(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def once(c: Column) -> Column:
+    """The column, made exactly once for a row: what isn't deterministic is neither repeated in functions of elements nor moved below a filter."""
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def row_hash(text: str = "text") -> Column:
     """With the id it tells rows of different texts apart."""
     return F.xxhash64(whole(text))

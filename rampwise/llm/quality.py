@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rampwise.llm.common import WHITE, whole
+from rampwise.llm.common import WHITE, once, whole
 
 #: Common function words of four languages.
 STOP_WORDS = (
@@ -89,17 +89,17 @@ def measured(docs: DataFrame, window: int = WINDOW, text: str = "text") -> DataF
     """All measures of every document."""
     stops = sorted({w for line in STOP_WORDS for w in line.split()})
     d = docs.select(F.col("doc_id"), whole(text).alias("text"))
-    d = d.select("doc_id", "text", F.filter(F.split("text", f"[{WHITE}]+"), lambda w: w != "").alias("words"),
-                 F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{WHITE}]")).alias("lines"))
-    d = d.select("*", window_hashes("words", window).alias("windows"), F.size("words").cast("long").alias("n_words"), F.size("lines").alias("n_lines"),
+    d = d.select("doc_id", "text", once(F.filter(F.split("text", f"[{WHITE}]+"), lambda w: w != "")).alias("words"),
+                 once(F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{WHITE}]"))).alias("lines"))
+    d = d.select("*", once(window_hashes("words", window)).alias("windows"), F.size("words").cast("long").alias("n_words"), F.size("lines").alias("n_lines"),
                  F.char_length(F.concat_ws("", "words")).cast("long").alias("word_chars"),
                  F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"))
     share = lambda of, n: F.when(F.col(n) > 0, of / F.col(n))
     # only texts in which a window repeats have theirs sorted
     placed = F.when(F.size(F.array_distinct("windows")) < F.size("windows"), F.array_sort(F.transform(
         "windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
-    d = d.withColumn("windows", placed)
-    d = d.withColumn("windows", repeated_at("windows"))
+    d = d.withColumn("windows", once(placed))
+    d = d.withColumn("windows", once(repeated_at("windows")))
     return d.select(
         F.col("doc_id").cast("long").alias("doc_id"), "n_words", "word_chars", "n_symbols",
         (F.col("n_lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
