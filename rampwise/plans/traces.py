@@ -11,6 +11,7 @@ from rampwise.functions import scalars as S
 from rampwise.operators import groups, match, segments, setops
 from rampwise.operators.quantiles import medians
 from rampwise.session import pinned
+from rampwise.sources.traces import explode_points
 
 SCHEMA_VERSION = 3
 OPTIONAL = {"path_m": "double", "stopped_s": "double", "n_stops": "bigint", "max_gs": "double",
@@ -35,6 +36,32 @@ def ground_segments(points: DataFrame, sites: Mapping[str, tuple[float, float]]
             .withColumn("schema", F.lit(SCHEMA_VERSION)).drop("seq_last"))
 
 
+def segments_of_documents(docs: DataFrame, sites: Mapping[str, tuple[float, float]] | None = None, **options) -> DataFrame:
+    """From trace documents (path, doc) to ground segments with the aircraft's hex, actype and reg and a `seg_id`.
+
+    A document is an entity: runs never go on from one into the next. Documents that could not be read have no points.
+    """
+    points = explode_points(docs.where(F.col("doc").isNotNull()), keep=("path",)).withColumnRenamed("path", "entity")
+    craft = points.groupBy("entity").agg(*[F.max(c).alias(c) for c in ("hex", "actype", "reg")])
+    runs = ground_segments(points, sites, **options).join(craft, "entity", "left")
+    return runs.withColumn("seg_id", F.concat_ws("#", "entity", F.col("seg").cast("string")))
+
+
+def departures_to_match(raw: DataFrame) -> DataFrame:
+    """Raw movements to the departures that `match_traces` reads: normalised callsign and flight number, times in epoch seconds, and the day."""
+    secs = lambda c: (F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000)
+    off = secs("MVT_TIME_UTC_mvt")
+    return raw.where(F.col("PHASE_mvt") == "DEP").select(
+        F.col("MVT_ID_mvt").alias("id"), F.col("ADEP_mvt").alias("site"), key_text("CALLSIGN_flt").alias("cs"), key_text("FLIGHT_mvt").alias("flt"),
+        F.col("STAND_mvt").alias("stand"), off.alias("t_off"), secs("AOBT_3_flt").alias("t_ref"), secs("BLOCK_TIME_UTC_mvt").alias("t_start"),
+        secs("SCHED_TIME_UTC_mvt").alias("t_sched"), F.col("TAXITIME_SEC_mvt").cast("double").alias("y"), F.floor(off / 86_400).cast("long").alias("day"))
+
+
+def key_text(name: str):
+    """Upper case without blanks around; an empty one is none."""
+    return F.nullif(S.normalise(name), F.lit(""))
+
+
 def prefix_map(dep: DataFrame) -> DataFrame:
     """(ia, ic): designator of the flight number to the callsign prefix most often seen with it."""
     coded = dep.select(S.key_part("flt", S.DESIGNATOR).alias("ia"), S.key_part("cs", S.ALPHA_PREFIX).alias("ic"))
@@ -60,11 +87,12 @@ def match_traces(dep: DataFrame, seg: DataFrame, tol: float = 180, after: float
                  width: float = 600, learn_from: DataFrame | None = None) -> DataFrame:
     """The accepted segment of each departure.
 
-    Departures: id, site, cs, flt, t_off. Segments: seg_id, site, callsign, t_first_air, t_last_ground
+    Departures: id, site, cs, flt, t_off; callsigns and numbers are normalised on both sides. Segments: seg_id, site, callsign, t_first_air, t_last_ground
     and whatever is to be carried. Kinds: 1 callsign, 2 flight number as callsign, 3 guessed callsign,
     4 prefix and lift-off within `near` seconds, accepted only if it is the only one.
     """
-    known = with_guesses(dep, learn_from=learn_from).select("id", "site", "cs", "flt", "cs_guess", "ic", "t_off")
+    clean = lambda df: df.withColumns({c: key_text(c) for c in ("cs", "flt")})
+    known = with_guesses(clean(dep), learn_from=None if learn_from is None else clean(learn_from)).select("id", "site", "cs", "flt", "cs_guess", "ic", "t_off")
     held = seg.withColumn("seg_cs", S.normalise("callsign")).where(F.col("seg_cs").isNotNull())
     anchor = F.coalesce("t_first_air", "t_last_ground")
     exact = match.match_any_key(known, held, [("cs", 1), ("flt", 2), ("cs_guess", 3)], "seg_cs", ["site"],

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gzip
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -39,16 +39,17 @@ def scan_traces(spark: SparkSession, path: str, pattern: str = "*.json") -> Data
 
 
 def explode_points(docs: DataFrame, doc: str = "doc", base: str = "$.timestamp", array: str = "$.trace",
-                   min_fields: int = 9) -> DataFrame:
+                   min_fields: int = 9, keep: Sequence[str] = ()) -> DataFrame:
     """One row per usable entry [dt, lat, lon, alt|"ground", gs, track, flags, vrate, details].
 
     Short entries and entries without a position are left out; an absent base counts as 0. Whatever is
     not the word ground is in the air, a missing altitude too; an empty callsign is none.
-    `t` is in epoch seconds, `seq` the place in the array.
+    `t` is in epoch seconds, `seq` the place in the array; columns of `docs` in `keep` are carried.
     """
     d = F.col(doc)
     get = lambda path, kind: F.try_variant_get(F.col("e"), path, kind)
     entries = docs.select(
+        *keep,
         F.try_variant_get(d, "$.icao", "string").alias("hex"), F.try_variant_get(d, "$.t", "string").alias("actype"),
         F.try_variant_get(d, "$.r", "string").alias("reg"),
         F.coalesce(F.try_variant_get(d, base, "double"), F.lit(0.0)).alias("t0"),
@@ -56,7 +57,7 @@ def explode_points(docs: DataFrame, doc: str = "doc", base: str = "$.timestamp",
     return (entries
             .where((F.size(F.try_variant_get(F.col("e"), "$", "array<variant>")) >= min_fields)
                    & get("$[1]", "double").isNotNull() & get("$[2]", "double").isNotNull())
-            .select("hex", "actype", "reg", F.col("seq").cast("long").alias("seq"),
+            .select(*keep, "hex", "actype", "reg", F.col("seq").cast("long").alias("seq"),
                     (F.col("t0") + get("$[0]", "double")).alias("t"),
                     get("$[1]", "double").alias("lat"), get("$[2]", "double").alias("lon"),
                     F.coalesce(get("$[3]", "string") == "ground", F.lit(False)).alias("ground"), get("$[4]", "double").alias("gs"),

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from rampwise.bindings.registry import movements
 from rampwise.functions import scalars as S
 from rampwise.operators import evaluate, setops
-from rampwise.plans import departures, weather
+from rampwise.plans import departures, traces, weather
 from rampwise.sources import files, sinks
+from rampwise.sources.traces import scan_traces
 from tests.conftest import rows
 
 
@@ -103,3 +104,22 @@ def test_correlation_of_a_constant_is_null(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 3.0), ("b", 1.0, 2.0), ("b", 2.0, 4.0), ("b", None, 9.0), ("c", 5.0, 5.0)],
                                "g string, x double, y double")
     assert rows(df.groupBy("g").agg(F.round(S.pearson("x", "y"), 9).alias("r"))) == [("a", None), ("b", 1.0), ("c", None)]
+
+
+def test_documents_to_segments_to_departures(spark, tmp_path):
+    """A missing altitude is in the air; lower-case and padded callsigns match."""
+    point = lambda dt, alt, gs: f'[{dt},50.0,8.0,{alt},{gs},90,0,null,{{"flight":" abc12 "}}]'
+    ground = '"ground"'
+    trace = ",".join([point(0, ground, 0), point(60, ground, 5), point(70, "null", 120), "[1,2]"])
+    (tmp_path / "a.json").write_text(f'{{"icao":"h1","t":"A320","timestamp":86400,"trace":[{trace}]}}')
+    (tmp_path / "b.json").write_text("{")
+    seg = traces.segments_of_documents(scan_traces(spark, str(tmp_path)), {"X": (50.0, 8.0)})
+    got = seg.first()
+    assert seg.count() == 1 and (got["site"], got["hex"], got["actype"], got["n_ground"], got["t_first_air"]) == ("X", "h1", "A320", 2, 86_470.0)
+    raw = spark.sql("""SELECT 1L AS MVT_ID_mvt, 'DEP' AS PHASE_mvt, 'X' AS ADEP_mvt, ' abc12' AS CALLSIGN_flt, '' AS FLIGHT_mvt, 'S1' AS STAND_mvt,
+        timestamp_seconds(86480) AS MVT_TIME_UTC_mvt, timestamp_seconds(86000) AS AOBT_3_flt, timestamp_seconds(86000) AS BLOCK_TIME_UTC_mvt,
+        timestamp_seconds(85900) AS SCHED_TIME_UTC_mvt, 480 AS TAXITIME_SEC_mvt""")
+    dep = traces.departures_to_match(raw)
+    assert dep.first()["flt"] is None and dep.first()["day"] == 1
+    assert [r["kind"] for r in traces.match_traces(dep, seg).collect()] == [1]
+    assert traces.match_traces(dep.withColumn("cs", F.lit("abc12 ")), seg).count() == 1
