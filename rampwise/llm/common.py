@@ -151,7 +151,7 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix(total)
 
 
-def slices(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: list[bytes], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts of about `most` bytes; a longer text stands alone."""
     at = size = 0
     for i, t in enumerate(texts):
