@@ -74,10 +74,17 @@ def op6_repeats(spark: SparkSession, d: str) -> DataFrame:
     return repeats.without_repeats(read(spark, d, "documents"))
 
 
-@query()
+SHARD_NAMES = {f"shard-{i:02d}": 1 for i in range(sharding.SHARDS)}
+SHARD_TABLE = sharding.lookup(SHARD_NAMES)
+SHARDING_SQL = f"""
+WITH t AS (SELECT {SHARD_TABLE} AS held), s AS (
+    SELECT doc_id, source, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {sharding.SLOTS} AS slot FROM documents)
+SELECT doc_id, source, slot, printf('shard-%02d', held[slot + 1]) AS shard FROM s, t"""
+
+
+@query(SHARDING_SQL)
 def op7_sharding(spark: SparkSession, d: str) -> DataFrame:
-    shards = {f"shard-{i:02d}": 1 for i in range(sharding.SHARDS)}
-    return sharding.placed(read(spark, d, "documents"), F.col("doc_id"), sharding.lookup(shards), list(shards), ["doc_id", "source"])
+    return sharding.placed(read(spark, d, "documents"), F.col("doc_id"), SHARD_TABLE, list(SHARD_NAMES), ["doc_id", "source"])
 
 
 @query()
