@@ -110,4 +110,6 @@ def op9_warc(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def op10_language(spark: SparkSession, d: str) -> DataFrame:
-    return language.identified(language.from_documents(read(spark, d, "documents")))
+    """A row for each document (doc_id) and each page (page_id)."""
+    docs = language.identified(language.from_documents(read(spark, d, "documents")))
+    return docs.unionByName(language.identified(language.from_pages(read(spark, d, "pages"))), allowMissingColumns=True)

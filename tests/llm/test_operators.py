@@ -340,3 +340,21 @@ def test_language_of_pages_uses_host_and_markup(spark):
         (100 + i, f"https://e{i % 5}.com/{i}", f"<html lang='en'><p>{en}</p></html>") for i in range(60)] + [(900, "https://www.h1.de/z", "<html><p>in</p></html>"), (901, "https://e1.com/z", "<html><p>in</p></html>"), (902, None, None)]
     got = {r["page_id"]: r for r in language.identified(language.from_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()}
     assert got[900]["language"] == "de" and got[901]["language"] == "en" and not got[902]["kept"]
+
+
+def test_language_query_identifies_all_documents_and_pages(spark, data, tmp_path):
+    """Most pages share a host; two short texts are told apart by host and markup alone."""
+    from rampwise.llm.queries import QUERIES
+
+    got = QUERIES["op10_language"](spark, data).cache()
+    for name, key in (("documents", "doc_id"), ("pages", "page_id")):
+        own = read(spark, data, name).select(F.col(key).cast("long"))
+        assert got.where(F.col(key).isNotNull()).select(key).exceptAll(own).count() == 0 and own.exceptAll(got.select(key)).count() == 0
+    de, en = "der die und das ist nicht ein eine mit von zu auf", "the and of to in that is for it with as was"
+    rows = [(i, f"https://www.hot.de/{i}", f'<html lang="de"><body>{de}</body></html>') for i in range(600)] + [
+        (1000 + i, f"https://e{i % 5}.com/{i}", f"<html lang='en'><p>{en}</p></html>") for i in range(60)] + [
+        (2000, "https://www.hot.de/z", "<p>in</p>"), (2001, "https://e1.com/z", "<p>in</p>"), (2002, "https://new.hot.de/", "<p>in</p>"), (2003, "https://other.de/", "<p>in</p>"), (2004, None, '<html lang="en"><p>in</p>')]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    read(spark, data, "documents").write.parquet(f"{tmp_path}/documents.parquet")
+    told = {r["page_id"]: r["language"] for r in QUERIES["op10_language"](spark, str(tmp_path)).where("page_id >= 2000").collect()}
+    assert told == {2000: "de", 2001: "en", 2002: "de", 2003: "de", 2004: "en"}
