@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rampwise.llm import bpe, decontaminate, jaccard, language, pii, quality, repeats, sharding, tokens, warc
+from rampwise.llm import bpe, conversations, decontaminate, exact, jaccard, language, periodic, pii, quality, repeats, sharding, tokens, warc
 from rampwise.llm.common import read
 from rampwise.session import scratch_path
 
@@ -113,3 +113,28 @@ def op10_language(spark: SparkSession, d: str) -> DataFrame:
     """A row for each document (doc_id) and each page (page_id)."""
     docs = language.identified(language.from_documents(read(spark, d, "documents")))
     return docs.unionByName(language.identified(language.from_pages(read(spark, d, "pages"))), allowMissingColumns=True)
+
+
+EXACT_SQL = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, row_number() OVER (PARTITION BY body ORDER BY doc_id DESC) = 1 AS kept,
+       CAST(octet_length(encode(body)) AS BIGINT) AS n_bytes, sha256(body) AS text_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS body FROM documents) WINDOW w AS (PARTITION BY body)"""
+
+
+@query(EXACT_SQL)
+def op11_exact(spark: SparkSession, d: str) -> DataFrame:
+    return exact.grouped(read(spark, d, "documents"), digests=True)
+
+
+@query()
+def op12_conversations(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "conversations")
+    return conversations.repair(conversations.damaged(rows), rows).withColumnRenamed("repaired", "repaired_sha256")
+
+
+@query()
+def op13_periodic(spark: SparkSession, d: str) -> DataFrame:
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    found = periodic.collapsed(read(spark, d, "documents"), periodic.planted)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+                        F.sha2("collapsed", 256).alias("collapsed_sha256"))
