@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,3 +65,21 @@ def pinned(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint that survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def send_source(spark: SparkSession) -> SparkSession:
+    """Send this package's source to the executors, once a context: functions that run in Python workers import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_rampwise_sent", None) is None:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        folder = tempfile.mkdtemp(prefix="rampwise-source-")
+        atexit.register(shutil.rmtree, folder, True)
+        path = os.path.join(folder, "rampwise_source.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for at, _, names in os.walk(os.path.join(root, "rampwise")):
+                for n in names:
+                    if n.endswith(".py"):
+                        z.write(os.path.join(at, n), os.path.relpath(os.path.join(at, n), root))
+        sc.addPyFile(path)
+        sc._rampwise_sent = path
+    return spark
