@@ -90,6 +90,8 @@ _BYTE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint6
 _BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LANES = _SEED.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes beyond which a word is hashed on its own.
+LONG_WORD = 48
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -137,6 +139,8 @@ def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
         run = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[data] * up, out=run[1:])
         h = mix((run[b] - run[a]) * down[a] + (b - a).astype(np.uint64) * _LANES[63])
+    for i in np.flatnonzero(b - a > LONG_WORD).tolist():  # powers of an odd number modulo 2^64 can't tell some long words apart
+        h[i] = int.from_bytes(hashlib.blake2b(data[a[i]: b[i]].tobytes().lower(), digest_size=8).digest(), "little")
     return h, np.searchsorted(a, ends)
 
 
