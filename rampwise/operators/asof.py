@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rampwise.functions.clock import DAY, micros
+from rampwise.functions.clock import MINUTE, micros
 from rampwise.operators.frames import Measure, Running, instant_frames
 
 
@@ -21,7 +21,7 @@ def _search(left: DataFrame, right: DataFrame, keys: Sequence[str], t: str, hit:
 
 
 def asof_left(left: DataFrame, right: DataFrame, keys: Sequence[str], lt: str, rt: str,
-              bring: Sequence[str], tie: str | None = None, form: str = "scaled", slot: int = DAY) -> DataFrame:
+              bring: Sequence[str], tie: str | None = None, form: str = "scaled", slot: int = MINUTE) -> DataFrame:
     """Every left row plus `bring` and `asof_t` (microseconds) of its latest right row.
 
     Of right rows at one instant the largest `tie` wins.  Only distinct instants are searched; the answer
@@ -38,7 +38,7 @@ def asof_left(left: DataFrame, right: DataFrame, keys: Sequence[str], lt: str, r
 
 
 def next_after(left: DataFrame, right: DataFrame, keys: Sequence[str], lt: str, rt: str, bring: Sequence[str],
-               form: str = "scaled", slot: int = DAY) -> DataFrame:
+               form: str = "scaled", slot: int = MINUTE) -> DataFrame:
     """Every left row plus `bring` and `next_t` of the first right row strictly after it: the same search,
     time reversed."""
     have = right.withColumn("_t", -micros(right, rt)).withColumn(

@@ -6,10 +6,11 @@ the shuffle; windows then run per (key, slot of time) over instants, and the res
 the rows that asked.  A window group holds at most the instants of two or three slots, however
 many rows a key, a slot or an instant has.
 
-A frame reaches into the neighbouring slots, so instants are copied there.  A running value adds
-what the earlier slots hold in total, from a table with one row per key and slot.
+A frame reaches into the neighbouring slots, so instants are copied there.  A running value is climbed on a ladder: the
+instants of its minute, the minutes of its day before that, and the days before; no group of a ladder holds more than
+the instants of a minute, 1,440 minutes, or a row for each day.
 
-Three forms give the same result.  `scaled` is the above.  `fine` is for streams in which one slot may
+Three forms give the same result.  `scaled` is the above.  `fine` is for frames over streams in which one slot may
 hold too many distinct instants (clocks of a microsecond): it splits a frame into the part of its first
 second, the whole seconds between and the part of its last one, so that no group exceeds the instants of
 a second or the seconds of three slots, whatever the data.  `plain` is one group per key, to compare with.
@@ -74,7 +75,7 @@ def _merge(how: str, earlier: Column, here: Column) -> Column:
 
 def instant_frames(stream: DataFrame, keys: Sequence[str], t: str, measures: Sequence[Measure],
                    frames: Sequence[Frame] = (), running: Sequence[Running] = (), keep: Sequence[str] = (),
-                   asks: Column | None = None, form: str = "scaled", slot: int = DAY) -> DataFrame:
+                   asks: Column | None = None, form: str = "scaled", slot: int = MINUTE) -> DataFrame:
     """(keys, t, frames, running values, kept measures), a row per instant where `asks` holds for some row.
 
     A measure's column is evaluated per stream row; null contributes nothing.  `slot` is the slot's width
@@ -90,12 +91,10 @@ def instant_frames(stream: DataFrame, keys: Sequence[str], t: str, measures: Seq
     by_name = {m.name: m for m in measures}
     instants = rows.groupBy(*keys, t).agg(*[COMBINE[m.how](m.column).alias(m.name) for m in measures],
                                           F.max(asked).alias("_asked"))
-    if form == "fine":
-        if not frames:
-            return instant_frames(stream, keys, t, measures, (), running, keep, asks, "scaled", min(slot, MINUTE))
+    if form == "fine" and frames:
         out = _by_seconds(instants, keys, t, measures, frames)
         if running or keep:
-            rest = instant_frames(stream, keys, t, measures, (), running, keep, asks, "scaled", min(slot, MINUTE))
+            rest = instant_frames(stream, keys, t, measures, (), running, keep, asks)
             out = out.join(rest, [*keys, t])
         return out.select(*keys, t, *keep, *[f.out for f in frames], *[r.out for r in running])
     back = max([0] + [-f.low for f in frames])
@@ -126,9 +125,7 @@ def instant_frames(stream: DataFrame, keys: Sequence[str], t: str, measures: Seq
         else:
             totals = instants.groupBy(*keys, home.alias("_slot")).agg(*[COMBINE[how[m]](m).alias(m) for m in used],
                                                                       F.max("_asked").alias("_asked"))
-        across = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(PAST, -1)
-        before = (totals.select(*keys, "_slot", "_asked", *[COMBINE[how[m]](m).over(across).alias(f"_b_{m}") for m in used])
-                  .where("_asked").drop("_asked"))
+        before = _earlier(totals, keys, used, how)
         # A left join infers no null filter on its left side, so the two readers of the instants stay alike.
         out = out.join(before, [*keys, "_slot"], "left")
         out = out.select(*keys, t, *keep, *[f.out for f in frames],
@@ -136,6 +133,19 @@ def instant_frames(stream: DataFrame, keys: Sequence[str], t: str, measures: Seq
     return out.select(*keys, t, *keep, *[f.out for f in frames], *[r.out for r in running])
 
 
+def _earlier(totals: DataFrame, keys: Sequence[str], used: Sequence[str], how: dict[str, str]) -> DataFrame:
+    """(keys, _slot, _b_ of each measure): what all slots before hold, for the slots that ask.
+
+    A ladder of two steps: the slots of the same day, at most 1,440 minutes in a group, and the days before, one row each.
+    """
+    days = totals.withColumn("_day", slot_start("_slot", DAY))
+    in_day, over_days = (Window.partitionBy(*p).orderBy(o).rowsBetween(PAST, -1) for p, o in (((*keys, "_day"), "_slot"), (keys, "_day")))
+    low = days.select(*keys, "_day", "_slot", "_asked", *[COMBINE[how[m]](m).over(in_day).alias(f"_l_{m}") for m in used]).where("_asked").drop("_asked")
+    high = (days.groupBy(*keys, "_day").agg(*[COMBINE[how[m]](m).alias(m) for m in used], F.max("_asked").alias("_asked"))
+            .select(*keys, "_day", "_asked", *[COMBINE[how[m]](m).over(over_days).alias(f"_h_{m}") for m in used]).where("_asked").drop("_asked"))
+    return low.join(high, [*keys, "_day"], "left").select(*keys, "_slot", *[_merge(how[m], F.col(f"_h_{m}"), F.col(f"_l_{m}")).alias(f"_b_{m}") for m in used])
+
+
 def _all_of(how: str, parts: Sequence[Column]) -> Column:
     """Parts of one frame put together; null where all are."""
     if how != "sum":
