@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rampwise.functions.scalars import bin_by_edges, clip
-from rampwise.operators.quantiles import exact_quantiles
+from rampwise.operators.quantiles import exact_quantiles, known, medians, quantile_levels
 from rampwise.operators.setops import fallback_lookup
 
 SITE_LEVELS = (("site", "stand", "rwy"), ("site", "rwy"), ("site",))
@@ -48,7 +48,7 @@ def mean_levels(df: DataFrame, levels: Sequence[Sequence[str]], y: str, min_n: S
 
 
 def median_levels(df: DataFrame, levels: Sequence[Sequence[str]], y: str, min_n: Sequence[int]) -> Levels:
-    return [(k, group_median(df, k, y, n), "p") for k, n in zip(levels, min_n)]
+    return [(k, t.where(F.col("n") >= n).select(*k, "p"), "p") for k, t, n in zip(levels, quantile_levels(df, levels, y, {"p": 0.5}), min_n)]
 
 
 def overall(df: DataFrame, y: str) -> Column:
@@ -100,16 +100,16 @@ def learn_reference(df: DataFrame, keys: Sequence[str], lat: str, lon: str, wher
     rows = df.where(where)
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
-    a = exact_quantiles(rows, keys, lat, {"ref_lat": 0.5})
-    b = exact_quantiles(rows, keys, lon, {"ref_lon": 0.5}).drop("n")
-    return a.where(F.col("n") >= min_n).join(b, list(keys))
+    both = medians(rows, keys, {"ref_lat": F.col(lat), "ref_lon": F.col(lon)})
+    n = rows.groupBy(*keys).agg(F.count(F.when(known(lat), F.col(lat))).alias("n"))
+    return n.where(F.col("n") >= min_n).join(both, list(keys)).where("ref_lat IS NOT NULL AND ref_lon IS NOT NULL").select(*keys, "n", "ref_lat", "ref_lon")
 
 
 def median_baseline(fit: DataFrame, target: DataFrame, levels: Sequence[Sequence[str]], y: str,
                     min_n: Sequence[int], out: str = "pred") -> DataFrame:
     """Group medians from fine to coarse, then the global median."""
-    whole = exact_quantiles(fit, [], y, {"p": 0.5}).select("p").scalar()
-    return fallback_lookup(target, median_levels(fit, levels, y, min_n), whole, out)
+    whole = median_levels(fit, [*levels, ()], y, [*min_n, 1])
+    return fallback_lookup(target, whole[:-1], whole[-1][1].select("p").scalar(), out)
 
 
 def mean_baseline(fit: DataFrame, target: DataFrame, levels: Sequence[Sequence[str]], y: str,

@@ -49,6 +49,19 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
     return upto.groupBy(*keys).agg(F.max("n").alias("n"), *made).where("n IS NOT NULL")
 
 
+def quantile_levels(df: DataFrame, levels: Sequence[Sequence[str]], value: str, probs: Mapping[str, float]) -> list[DataFrame]:
+    """(keys, n, one column per quantile) for each level; no keys at all are a level too.
+
+    All levels are one table whose groups begin with the level's number, so they share one dealing to ranges and one count.
+    """
+    every = list(dict.fromkeys(k for keys in levels for k in keys))
+    kind = {k: df.schema[k].dataType for k in every}
+    parts = [F.struct(F.lit(i).alias("_level"), *[(F.col(k) if k in keys else F.lit(None)).cast(kind[k]).alias(k) for k in every]) for i, keys in enumerate(levels)]
+    long = df.select(F.col(value).cast("double").alias("_value"), F.explode(F.array(*parts)).alias("x")).select("x.*", "_value")
+    held = pinned(exact_quantiles(long, ["_level", *every], "_value", probs))
+    return [held.where(F.col("_level") == i).select(*keys, "n", *probs) for i, keys in enumerate(levels)]
+
+
 def medians(rows: DataFrame, keys: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
     """(keys, one exact median per named value), nulls skipped."""
     long = rows.select(*keys, F.explode(F.array(*[
