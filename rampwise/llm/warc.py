@@ -1,40 +1,46 @@
-"""WARC archives and their two-level capture index.
+"""WARC archives and their capture index.
 
-Writing: each row becomes one WARC/1.1 record. Rows of equal payloads are told by digest and length;
-the one with the largest id is the response, the others are revisits that refer to it. Spark's
-text writer puts the records into archives of bounded length, its line end being the record's.
+Writing: each row becomes one WARC/1.1 record, a gzip member of its own, in archives of bounded size. Rows of equal payloads
+are told by digest and length; the one with the largest id is the response, the others are revisits that refer to it.
+Which digests are shared, and which rows stay as responses, is kept in two sieves of fixed size: a row whose digest no other has is written
+where it stands, and of the others only those that may be responses take their payload along to meet their group.
+Each task names its own files and gives back the places of its records; only a finished task's places enter the index, so files of a lost one are never read.
 
-Index: archives are parsed by content length, and each capture's line is keyed by the address with its host
-reversed, then the id. Lines are sorted over ranges of keys and packed into compressed blocks;
-a sparse directory holds the first key of each block, and a short top table the first key of
-each range. A lookup finds the range in the top table and the block in the range's directory by binary search,
-unpacks that block, and reads only the record's own bytes from the archive.
+Index: each capture's line is keyed by the address with its host reversed, then the id. Sorted lines are packed into
+compressed blocks; the sparse directory of the blocks (first key, place) is sorted lines of the same form, and is packed again until at
+most `MOST_TOP` are left: two levels up to a million captures, three up to half a billion. A lookup walks down by binary search and a range
+read for each block, then reads only the record's own bytes from the archive. Wanted keys come sorted, so a block is opened once in a task.
 
 A null payload is empty (and equal to other empty ones); a null address is kept as such; null ids
 are never the largest unless all are null, and then all are responses. Equal rows of the largest id are all responses.
 Every row has its record, repeated ones too. Extra columns are ignored; an empty table gives no archive and an empty result.
+A payload of any length is one record; batches of rows are bounded by `BATCH_BYTES` or by one row, archives by `ARCHIVE_BYTES` and one record.
 """
 
 from __future__ import annotations
 
 import base64
 import bisect
+import functools
 import hashlib
 import re
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rampwise.llm.common import stored
+from rampwise.llm.exact import HOT, PAGE, SIEVE, passing, sieve
 from rampwise.session import pinned
 
-RECORDS_PER_FILE, LINES_PER_BLOCK, LINES_PER_RANGE, MOST_RANGES = 4_000, 512, 50_000, 4_096
+ARCHIVE_BYTES, BATCH_BYTES, LINES_PER_BLOCK, LINES_PER_TASK, MOST_TOP = 256 << 20, 32 << 20, 512, 200_000, 4_096
 DATE = "2024-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+LINE = "key string, file string, offset long, length long"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -45,12 +51,34 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(digits, "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """A row for each page with `value`, its record without the two line ends after it."""
+def _told(pages: DataFrame, least_bytes: int) -> DataFrame:
+    """Each row with digest, size and head: the id of its group's response, null where no other row has its payload. Of revisits html may be null."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = p.withColumns({"digest": base32_sha1(F.col("html")), "size": F.octet_length("html").cast("long")})
-    heads = p.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    p = p.join(heads, ["digest", "size"], "left")
+    group = F.when(F.col("size") >= least_bytes, F.xxhash64("digest", "size"))
+    shared = sieve(p.select(group.alias("group")).where("group IS NOT NULL"), "group")
+    p = passing(p, group, shared, "may_share")
+    groups = pinned(p.where("may_share").groupBy("digest", "size").agg(F.max("page_id").alias("head"), F.count("*").alias("n")))
+    stays = groups.select(F.pmod(F.xxhash64("digest", "size", "head"), F.lit(SIEVE)).alias("bit"))
+    stays = pinned(stays.groupBy(F.floor(F.col("bit") / PAGE).cast("long").alias("page")).agg(F.bitmap_construct_agg(F.col("bit") % PAGE).alias("bits")))
+    alone = p.where("NOT may_share").select("page_id", "url", "html", "digest", "size", F.lit(None).cast("long").alias("head"))
+    # a group of nulls alone has a null head, and its rows are responses
+    key = F.xxhash64("digest", "size", "page_id")
+    met = passing(p.where("may_share"), key, stays, "may_stay").select("page_id", "url", F.when(F.col("may_stay"), F.col("html")).alias("html"), "digest", "size")
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    named = groups.select(F.col("digest").alias("_digest"), F.col("size").alias("_size"), F.when(F.col("n") > 1, F.col("head")).alias("head"), "n")
+    # fewer than HOT groups hold more than 1 / HOT of these rows each
+    hot = named.where(F.col("n") * HOT > total).select("_digest", "_size", F.col("head").alias("hot_head"), F.lit(True).alias("_hot"))
+    by_hot = met.join(F.broadcast(hot), (F.col("digest") == F.col("_digest")) & (F.col("size") == F.col("_size")), "left").drop("_digest", "_size")
+    done = by_hot.where("_hot").select("page_id", "url", "html", "digest", "size", F.col("hot_head").alias("head"))
+    cool = named.where(F.col("n") * HOT <= total).drop("n")
+    rest = by_hot.where("_hot IS NULL").drop("_hot", "hot_head").join(cool, (F.col("digest") == F.col("_digest")) & (F.col("size") == F.col("_size"))).drop("_digest", "_size")
+    return alone.unionByName(done).unionByName(rest)
+
+
+def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """page_id, url and, in `value`, the record of each page without the two line ends after it."""
+    p = _told(pages, least_bytes)
     again = F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     safe = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
@@ -60,11 +88,62 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
              F.concat(F.lit("X-Payload-Length: "), F.col("size").cast("string")), F.when(again, F.concat(F.lit("WARC-Refers-To: "), name(F.col("head")))),
              F.when(again, F.lit(f"WARC-Profile: {PROFILE}")), F.lit("Content-Type: application/http; msgtype=response"),
              F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string"))]
-    return p.select(F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), block).alias("value"))
+    return p.select("page_id", safe.alias("url"), F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), block).alias("value"))
+
+
+class _Files:
+    """Files of bounded size in a folder that executors share; each piece's place is given back."""
+
+    def __init__(self, folder: str, label: str, most: int):
+        self.folder, self.label, self.most, self.out, self.at, self.name = folder.rstrip("/"), label, most, None, 0, None
+
+    def add(self, data: bytes) -> tuple[str, int, int]:
+        from pyarrow import fs
 
+        if self.out is None or self.at and self.at + len(data) > self.most:
+            self.close()
+            self.name, self.at = f"{self.folder}/{self.label}-{uuid.uuid4().hex}", 0
+            system, path = fs.FileSystem.from_uri(self.name)
+            system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            self.out = system.open_output_stream(path)
+        self.out.write(data)
+        self.at += len(data)
+        return self.name, self.at - len(data), len(data)
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+            self.out = None
+
+
+def _gzip(data: bytes) -> bytes:
+    packer = zlib.compressobj(6, wbits=31)
+    return packer.compress(data) + packer.flush()
+
+
+def _lines(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["key", "file", "offset", "length"])
+
+
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFrame:
+    """Writes the archives and returns the line of each record: key, file, offset, length."""
+    most = ARCHIVE_BYTES
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = _Files(path, "archive", most)
+        for batch in batches:
+            ids, urls, values = (batch.column(c) for c in ("page_id", "url", "value"))
+            yield _lines([(capture_key(u.as_py(), i.as_py()), *files.add(_gzip(v.as_py().encode() + b"\r\n\r\n"))) for i, u, v in zip(ids, urls, values)])
+        files.close()
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    records(pages, least_bytes).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).mode("overwrite").text(path)
+    spark = pages.sparkSession
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit, None)
+    spark.conf.set(limit, str(BATCH_BYTES))
+    try:
+        return stored(records(pages, least_bytes).mapInArrow(write, LINE), "warc-lines")
+    finally:
+        spark.conf.unset(limit) if before is None else spark.conf.set(limit, before)
 
 
 def reversed_host(url: str | None) -> str:
@@ -97,94 +176,132 @@ def _page(name: str) -> int | None:
     return None if found == "none" else int(found)
 
 
+def members(stream, chunk: int = 1 << 20) -> Iterator[tuple[int, int, bytes]]:
+    """Offset, length and content of each gzip member of an open stream, one at a time."""
+    at, data = 0, b""
+    while True:
+        unpack, parts, used = zlib.decompressobj(31), [], 0
+        while not unpack.eof:
+            if not data:
+                data = stream.read(chunk)
+                if not data:
+                    if used:
+                        raise ValueError(f"a record is cut off at {at}")
+                    return
+            parts.append(unpack.decompress(data))
+            used += len(data) - len(unpack.unused_data)
+            data = unpack.unused_data
+        yield at, used, b"".join(parts)
+        at += used
+
+
 def captures(spark: SparkSession, path: str) -> DataFrame:
-    """A line for each record of the archives: key, file, offset, length."""
+    """The lines of a folder of archives made elsewhere, read as streams: key, file, offset, length."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         for batch in batches:
-            for name, data in zip(batch.column("path"), batch.column("content")):
-                data, at, rows = data.as_py(), 0, []
-                while at < len(data):
-                    fields, _, end = _head(data, at)
-                    rows.append((capture_key(fields.get("WARC-Target-URI"), _page(fields["WARC-Record-ID"])), name.as_py(), at, end - at))
-                    at = end
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["key", "file", "offset", "length"])
+            for name in batch.column("path").to_pylist():
+                system, at = fs.FileSystem.from_uri(name)
+                rows = []
+                with system.open_input_file(at) as stream:
+                    for offset, length, data in members(stream):
+                        fields, _, _ = _head(data, 0)
+                        rows.append((capture_key(fields.get("WARC-Target-URI"), _page(fields["WARC-Record-ID"])), name, offset, length))
+                        if len(rows) == 10_000:
+                            yield _lines(rows)
+                            rows = []
+                yield _lines(rows)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInArrow(parse, "key string, file string, offset long, length long")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "archive-*").load(path).select("path").mapInArrow(parse, LINE)
 
 
-def write_index(lines: DataFrame, path: str) -> None:
-    """Sorted lines in compressed blocks, one row each, with the range they belong to and their first key."""
+def _packed(lines: DataFrame, path: str, n_lines: int) -> DataFrame:
+    """Sorted lines in compressed blocks; the directory of the blocks, a line for each."""
+    per_block, most = LINES_PER_BLOCK, ARCHIVE_BYTES
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, held, no = TaskContext.get().partitionId(), [], 0
+        files, held, made = _Files(path, "blocks", most), [], []
 
         def block():
-            text = "\n".join("\t".join(map(str, x)) for x in held)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([no], pa.int64()), pa.array([held[0][0]]), pa.array([len(held)], pa.int64()), pa.array([zlib.compress(text.encode())], pa.binary())],
-                                              names=["range", "block", "first_key", "n_lines", "data"])
+            made.append((held[0][0], *files.add(zlib.compress("\n".join("\t".join(map(str, x)) for x in held).encode()))))
 
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns]):
                 held.append(row)
-                if len(held) == LINES_PER_BLOCK:
-                    yield block()
-                    held, no = [], no + 1
+                if len(held) == per_block:
+                    block()
+                    held = []
+            if made:
+                yield _lines(made)
+                made = []
         if held:
-            yield block()
+            block()
+        files.close()
+        if made:
+            yield _lines(made)
+
+    tasks = max(1, -(-n_lines // LINES_PER_TASK))
+    return stored(lines.repartitionByRange(tasks, "key", "file", "offset").sortWithinPartitions("key", "file", "offset").mapInArrow(pack, LINE), "warc-directory")
+
+
+def write_index(lines: DataFrame, path: str) -> DataFrame:
+    """Writes blocks and directories and returns the top directory, of at most MOST_TOP lines (one level at least), with the number of levels below it."""
+    level, n = 0, lines.count()
+    while level == 0 or n > MOST_TOP:
+        lines, level = _packed(lines, f"{path}/{level}", n), level + 1
+        n = lines.count()
+    return lines.withColumn("levels", F.lit(level))
 
-    n = max(1, min(MOST_RANGES, -(-lines.count() // LINES_PER_RANGE)))
-    lines.repartitionByRange(n, "key", "file", "offset").sortWithinPartitions("key", "file", "offset").mapInArrow(
-        pack, "range long, block long, first_key string, n_lines long, data binary").write.mode("overwrite").parquet(path)
+
+@functools.lru_cache(maxsize=4)
+def _source(name: str):
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(name)
+    return system.open_input_file(path)
+
+
+def _walk(key: str, lines: list[tuple], levels: int, opened: Callable) -> Iterator[tuple]:
+    """The lines of a key below a sorted directory; a key that begins a block may also end the ones before."""
+    if levels == 0:
+        for line in lines[bisect.bisect_left(lines, key, key=lambda x: x[0]): bisect.bisect_right(lines, key, key=lambda x: x[0])]:
+            yield line[1:]
+        return
+    for i in range(max(0, bisect.bisect_left(lines, key, key=lambda x: x[0]) - 1), bisect.bisect_right(lines, key, key=lambda x: x[0])):
+        yield from _walk(key, opened(*lines[i][1:]), levels - 1, opened)
 
 
 def find(wanted: DataFrame, index: DataFrame) -> DataFrame:
-    """file, offset and length of the captures whose key is in `wanted` (key), by two binary searches and one block."""
-    top = sorted((r["first_key"], r["range"]) for r in index.groupBy("range").agg(F.min("first_key").alias("first_key")).collect())  # at most MOST_RANGES rows
-    starts, ranges = [t[0] for t in top], [t[1] for t in top]
+    """file, offset and length of the captures whose key is in `wanted` (key): binary searches down the directories, a range read for each block."""
+    top = sorted(tuple(r) for r in index.collect())  # at most MOST_TOP lines
+    levels = top[0][4] if top else 0
+    root = [t[:4] for t in top]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @functools.lru_cache(maxsize=8)
+        def opened(file, offset, length):
+            rows = (x.split("\t") for x in zlib.decompress(_source(file).read_at(length, offset)).decode().split("\n"))
+            return [(k, f, int(o), int(n)) for k, f, o, n in rows]
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column("key").to_pylist()
-            # a key that begins a range may also end the ones before
-            out = [(ranges[i], k) for k in keys for i in range(max(0, bisect.bisect_left(starts, k) - 1), bisect.bisect_right(starts, k))]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.string())], names=["range", "key"])
-
-    def search(keys: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
-        blocks = blocks.sort_values("block")
-        firsts, data, opened, found = blocks.first_key.tolist(), blocks.data.tolist(), {}, []
-        for k in sorted(set(keys.key)):
-            for b in range(max(0, bisect.bisect_left(firsts, k) - 1), bisect.bisect_right(firsts, k)):
-                if b not in opened:
-                    opened = {b: [x.split("\t") for x in zlib.decompress(data[b]).decode().split("\n")]}
-                lines = opened[b]
-                i = bisect.bisect_left(lines, k, key=lambda x: x[0])
-                while i < len(lines) and lines[i][0] == k:
-                    found.append((lines[i][1], int(lines[i][2]), int(lines[i][3])))
-                    i += 1
-        return pd.DataFrame(found, columns=["file", "offset", "length"])
-
-    routed = wanted.select("key").distinct().mapInArrow(route, "range long, key string")
-    return routed.groupBy("range").cogroup(index.select("range", "block", "first_key", "data").groupBy("range")).applyInPandas(search, "file string, offset long, length long")
+            found = [(k, *place) for k in batch.column("key").to_pylist() for place in _walk(k, root, levels, opened)]
+            if found:
+                yield _lines(found)
+
+    keys = wanted.select("key").where("key IS NOT NULL").distinct().repartitionByRange("key").sortWithinPartitions("key")
+    return keys.mapInArrow(search, LINE).drop("key")
 
 
 def read_records(places: DataFrame, keep_payload: bool = False) -> DataFrame:
     """The records at these places, each read by its own range of bytes; the payload of a response is digested again."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        name, source = None, None
         for batch in batches:
             rows = []
             for file, offset, length in zip(*[c.to_pylist() for c in batch.columns]):
-                if file != name:
-                    system, path = fs.FileSystem.from_uri(file)
-                    name, source = file, system.open_input_file(path)
-                data = source.read_at(length, offset)
+                data = zlib.decompress(_source(file).read_at(length, offset), 31)
                 fields, start, end = _head(data, 0)
                 payload = data[start: end - 4].split(b"\r\n\r\n", 1)[1]
                 whole = fields["WARC-Type"] == "response"
@@ -209,8 +326,5 @@ def keys_of(pages: DataFrame) -> DataFrame:
 
 def archived(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFrame:
     """Writes archives and index under `path` and reads the record of every page back through the index."""
-    spark = pages.sparkSession
-    write_archives(pages, f"{path}/archives", least_bytes)
-    write_index(pinned(captures(spark, f"{path}/archives")), f"{path}/index")
-    index = spark.read.schema("range long, block long, first_key string, n_lines long, data binary").parquet(f"{path}/index")
+    index = write_index(write_archives(pages, f"{path}/archives", least_bytes), f"{path}/index")
     return read_records(find(keys_of(pages), index))

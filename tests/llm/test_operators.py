@@ -309,12 +309,46 @@ def test_warc_round_trip(spark):
         want.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if again else "response", head if again else None))
     path = scratch_path(spark, "warc")
     same(warc.archived(pages, path), want, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    index = spark.read.parquet(f"{path}/index")
+    lines = warc.captures(spark, f"{path}/archives")
+    assert lines.count() == len(rows)
+    index = warc.write_index(lines, f"{path}/again")
     key = warc.capture_key("http://A.b.com/x", 2)
     assert key.startswith("com,b,a)/x ")
     found = warc.find(spark.createDataFrame([(key,), ("nothing",)], "key string"), index)
     assert warc.read_records(found, keep_payload=True).first()["page_id"] == 2 and found.count() == 1
     assert warc.archived(pages.limit(0), scratch_path(spark, "warc")).count() == 0
+    assert warc.find(spark.createDataFrame([("a",)], "key string"), warc.write_index(lines.limit(0), f"{path}/none")).count() == 0
+
+
+def test_warc_directory_of_several_levels(spark, monkeypatch):
+    """Blocks of 3 lines under a top of at most 4: four levels, keys that span blocks, archives cut by bytes."""
+    ship(spark)
+    for name, value in (("LINES_PER_BLOCK", 3), ("MOST_TOP", 4), ("LINES_PER_TASK", 40), ("ARCHIVE_BYTES", 2_000)):
+        monkeypatch.setattr(warc, name, value)
+    rows = [(i % 97, f"http://h{i % 5}.org/{i % 97}", f"page {i % 13}") for i in range(200)] + [(500, "http://one.org/", "alone"), (500, "http://one.org/", "alone")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = scratch_path(spark, "warc")
+    lines = warc.write_archives(pages, f"{path}/archives")
+    assert lines.select("file").distinct().count() > 5
+    index = warc.write_index(lines, f"{path}/index")
+    assert index.count() <= 4 and index.first()["levels"] >= 3
+    got = sorted(tuple(r) for r in warc.find(warc.keys_of(pages), index).collect())
+    assert got == sorted(tuple(r) for r in lines.select("file", "offset", "length").collect())
+    some = warc.read_records(warc.find(warc.keys_of(pages.where("page_id = 500")), index), keep_payload=True).collect()
+    assert [(r["page_id"], r["record_type"], r["payload"]) for r in some] == [(500, "response", "alone")] * 2
+    heads = {}
+    for i, _, h in rows:
+        heads[h] = max(i, heads.get(h, i))
+    back = warc.read_records(warc.find(warc.keys_of(pages), index)).select("page_id", "record_type", "refers_to").collect()
+    want = [(i, "response" if heads[h] == i else "revisit", None if heads[h] == i else heads[h]) for i, _, h in rows]
+    assert sorted(map(str, map(tuple, back))) == sorted(map(str, want))
+
+
+def test_warc_pages_of_five_megabytes(spark):
+    ship(spark)
+    pages = spark.range(12).selectExpr("id AS page_id", "concat('http://big.org/', id) AS url", "repeat(concat('<p>', id % 10, '</p>'), 650000) AS html")
+    got = warc.archived(pages, scratch_path(spark, "warc")).collect()
+    assert sorted((r["page_id"], r["refers_to"]) for r in got) == [(0, 10), (1, 11), *[(i, None) for i in range(2, 12)]] and {r["payload_bytes"] for r in got} == {650_000 * 8}
 
 
 def test_language(spark, data):
