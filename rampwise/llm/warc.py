@@ -36,7 +36,7 @@ from rampwise.llm.common import stored
 from rampwise.llm.exact import HOT, PAGE, SIEVE, passing, sieve
 from rampwise.session import pinned
 
-ARCHIVE_BYTES, BATCH_BYTES, LINES_PER_BLOCK, LINES_PER_TASK, MOST_TOP = 256 << 20, 32 << 20, 512, 200_000, 4_096
+ARCHIVE_BYTES, BATCH_BYTES, LINES_PER_BLOCK, LINES_PER_TASK, READS_PER_TASK, MOST_TOP = 256 << 20, 32 << 20, 512, 200_000, 5_000, 4_096
 DATE = "2024-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -247,12 +247,13 @@ def _packed(lines: DataFrame, path: str, n_lines: int) -> DataFrame:
 
 
 def write_index(lines: DataFrame, path: str) -> DataFrame:
-    """Writes blocks and directories and returns the top directory, of at most MOST_TOP lines (one level at least), with the number of levels below it."""
-    level, n = 0, lines.count()
+    """Writes blocks and directories and returns the top directory, of at most MOST_TOP lines (one level at least), with the number of levels below it and of all captures."""
+    level, total = 0, lines.count()
+    n = total
     while level == 0 or n > MOST_TOP:
         lines, level = _packed(lines, f"{path}/{level}", n), level + 1
         n = lines.count()
-    return lines.withColumn("levels", F.lit(level))
+    return lines.withColumns({"levels": F.lit(level), "captures": F.lit(total)})
 
 
 @functools.lru_cache(maxsize=4)
@@ -294,8 +295,11 @@ def find(wanted: DataFrame, index: DataFrame) -> DataFrame:
     return keys.mapInArrow(search, LINE).drop("key")
 
 
-def read_records(places: DataFrame, keep_payload: bool = False) -> DataFrame:
-    """The records at these places, each read by its own range of bytes; the payload of a response is digested again."""
+def read_records(places: DataFrame, keep_payload: bool = False, tasks: int = 1) -> DataFrame:
+    """The records at these places, each read by its own range of bytes; the payload of a response is digested again.
+
+    A place is small and its record isn't, so the number of tasks is the caller's and isn't left to the size of the places.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,7 +317,7 @@ def read_records(places: DataFrame, keep_payload: bool = False) -> DataFrame:
             columns = list(zip(*rows)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return places.repartition("file").sortWithinPartitions("file", "offset").select("file", "offset", "length").mapInArrow(read, RECORD + (", payload string" if keep_payload else ""))
+    return places.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset").select("file", "offset", "length").mapInArrow(read, RECORD + (", payload string" if keep_payload else ""))
 
 
 def keys_of(pages: DataFrame) -> DataFrame:
@@ -327,4 +331,5 @@ def keys_of(pages: DataFrame) -> DataFrame:
 def archived(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFrame:
     """Writes archives and index under `path` and reads the record of every page back through the index."""
     index = write_index(write_archives(pages, f"{path}/archives", least_bytes), f"{path}/index")
-    return read_records(find(keys_of(pages), index))
+    top = index.first()
+    return read_records(find(keys_of(pages), index), tasks=max(1, (top["captures"] if top else 0) // READS_PER_TASK))
