@@ -36,7 +36,7 @@ from rampwise.llm.common import stored
 from rampwise.llm.exact import HOT, PAGE, SIEVE, passing, sieve
 from rampwise.session import pinned
 
-ARCHIVE_BYTES, BATCH_BYTES, LINES_PER_BLOCK, LINES_PER_TASK, READS_PER_TASK, MOST_TOP = 256 << 20, 32 << 20, 512, 200_000, 5_000, 4_096
+ARCHIVE_BYTES, BATCH_BYTES, LINES_PER_BLOCK, LINES_PER_TASK, READS_PER_TASK, READ_BYTES, MOST_TOP = 256 << 20, 32 << 20, 512, 200_000, 5_000, 2 << 20, 4_096
 DATE = "2024-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -298,7 +298,8 @@ def find(wanted: DataFrame, index: DataFrame) -> DataFrame:
 def read_records(places: DataFrame, keep_payload: bool = False, tasks: int = 1) -> DataFrame:
     """The records at these places, each read by its own range of bytes; the payload of a response is digested again.
 
-    A place is small and its record isn't, so the number of tasks is the caller's and isn't left to the size of the places.
+    A place is small and its record isn't, so the number of tasks is the caller's and isn't left to the size of the places. Stretches
+    of READ_BYTES are dealt by their hash, which takes no sample to the driver.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +318,7 @@ def read_records(places: DataFrame, keep_payload: bool = False, tasks: int = 1)
             columns = list(zip(*rows)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return places.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset").select("file", "offset", "length").mapInArrow(read, RECORD + (", payload string" if keep_payload else ""))
+    return places.repartition(tasks, "file", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("file", "offset").select("file", "offset", "length").mapInArrow(read, RECORD + (", payload string" if keep_payload else ""))
 
 
 def keys_of(pages: DataFrame) -> DataFrame:
