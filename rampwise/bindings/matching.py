@@ -17,20 +17,18 @@ SQL["km_r"] = """
     SELECT id AS rid, usr AS rkey, usr // 4 AS prefix, k % 2 AS site,
            CASE WHEN id % 5 <> 0 THEN t / 1000000 END AS air, t / 1000000 - 60 AS last
     FROM ev WHERE kind = 'view'"""
-SQL["pairs"] = """
-    SELECT id, rid, min(kind) AS kind, min(dist) AS dist FROM (
-        SELECT l.id, r.rid, CASE WHEN r.rkey = l.key1 THEN 1 WHEN r.rkey = l.key2 THEN 2 ELSE 3 END AS kind,
-               coalesce(abs(r.air - l.t), abs(l.t - r.last) + 60) AS dist
-        FROM km_l l JOIN km_r r ON r.site = l.site AND (r.rkey = l.key1 OR r.rkey = l.key2 OR r.rkey = l.key3)
-        WHERE (r.air IS NOT NULL AND abs(r.air - l.t) <= 36000)
-           OR (r.air IS NULL AND l.t - r.last BETWEEN 0 AND 72000)) GROUP BY 1, 2"""
-SQL["near"] = """
-    SELECT l.id, r.rid, 4 AS kind, abs(r.air - l.t) AS dist
-    FROM km_l l JOIN km_r r ON r.site = l.site AND r.prefix = l.prefix WHERE abs(r.air - l.t) <= 10800"""
-SQL["cands"] = """
-    SELECT * FROM pairs UNION ALL SELECT * FROM near n
-    WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.id = n.id AND p.rid = n.rid)"""
+# A purchase stands once for each of its keys; what is found is reduced to its lowest kind.
 TOL, AFTER, NEAR = 36_000, 72_000, 10_800
+SQL["km_keys"] = """
+    SELECT id, site, t, unnest([{'kind': 1, 'rkey': key1}, {'kind': 2, 'rkey': key2}, {'kind': 3, 'rkey': key3}], recursive := true) FROM km_l"""
+SQL["pairs"] = f"""
+    SELECT id, rid, min(kind) AS kind, any_value(CASE WHEN air IS NULL THEN t - last + 60 ELSE abs(air - t) END) AS dist
+    FROM km_keys JOIN km_r USING (site, rkey)
+    WHERE CASE WHEN air IS NULL THEN t - last BETWEEN 0 AND {AFTER} ELSE air BETWEEN t - {TOL} AND t + {TOL} END GROUP BY id, rid"""
+SQL["near"] = f"""
+    SELECT id, rid, 4 AS kind, abs(air - t) AS dist FROM km_l JOIN km_r USING (site, prefix) WHERE air BETWEEN t - {NEAR} AND t + {NEAR}"""
+SQL["cands"] = """
+    SELECT id, rid, min(kind) AS kind, min(dist) AS dist FROM (FROM pairs UNION ALL FROM near) GROUP BY id, rid"""
 
 
 def _sides(spark, d):
@@ -61,17 +59,16 @@ def _shape(df):
     return df.select("id", "rid", "kind", six("dist", "dist", 3))
 
 
-@bind("jn6_match_any_key", uses="ev km_l km_r", sql="""
-    SELECT l.id, r.rid, CAST(CASE WHEN r.rkey = l.key1 THEN 1 WHEN r.rkey = l.key2 THEN 2 ELSE 3 END AS BIGINT) AS kind
-    FROM km_l l JOIN km_r r ON r.site = l.site AND (r.rkey = l.key1 OR r.rkey = l.key2 OR r.rkey = l.key3)
-    WHERE abs(coalesce(r.air, r.last) - l.t) <= 72000""")
+@bind("jn6_match_any_key", uses="ev km_l km_r km_keys", sql=f"""
+    SELECT id, rid, CAST(min(kind) AS BIGINT) AS kind FROM km_keys JOIN km_r USING (site, rkey)
+    WHERE coalesce(air, last) BETWEEN t - {AFTER} AND t + {AFTER} GROUP BY id, rid""")
 def jn6(spark, d):
     left, right = _sides(spark, d)
     return match.match_any_key(left, right.drop("prefix"), [("key1", 1), ("key2", 2), ("key3", 3)], "rkey", ["site"],
                                "t", F.coalesce("air", "last"), AFTER).select("id", "rid", "kind")
 
 
-@bind("jn7_within_reach", uses="ev km_l km_r pairs", sql="""
+@bind("jn7_within_reach", uses="ev km_l km_r km_keys pairs", sql="""
     SELECT id, rid, CAST(kind AS BIGINT) AS kind, round(dist, 3) AS dist FROM pairs""")
 def jn7(spark, d):
     return _shape(_exact(spark, d))
@@ -83,18 +80,16 @@ def jn8(spark, d):
     return _shape(_near(spark, d))
 
 
-@bind("ag11_collapse", uses="ev km_l km_r pairs near", sql="""
-    SELECT id, rid, CAST(min(kind) AS BIGINT) AS kind, round(min(dist), 3) AS dist
-    FROM (SELECT * FROM pairs UNION ALL SELECT * FROM near) GROUP BY 1, 2""")
+@bind("ag11_collapse", uses="ev km_l km_r km_keys pairs near cands", sql="""
+    SELECT id, rid, CAST(kind AS BIGINT) AS kind, round(dist, 3) AS dist FROM cands""")
 def ag11(spark, d):
     return _shape(match.collapse(_exact(spark, d).unionByName(_near(spark, d)).withColumn("side", F.lit("x")), "id", "rid"))
 
 
-@bind("wn10_accept", uses="ev km_l km_r pairs near cands", sql="""
-    SELECT id, rid, CAST(kind AS BIGINT) AS kind, round(dist, 3) AS dist FROM (
-        SELECT *, row_number() OVER (PARTITION BY id ORDER BY kind, dist, rid) AS rn,
-               count(*) FILTER (WHERE kind = 4) OVER (PARTITION BY id) AS n4 FROM cands)
-    WHERE rn = 1 AND (kind < 4 OR n4 = 1)""")
+@bind("wn10_accept", uses="ev km_l km_r km_keys pairs near cands", sql="""
+    SELECT id, best.rid AS rid, CAST(best.kind AS BIGINT) AS kind, round(best.dist, 3) AS dist FROM (
+        SELECT id, min({'kind': kind, 'dist': dist, 'rid': rid}) AS best, count(*) AS n FROM cands GROUP BY id)
+    WHERE best.kind < 4 OR n = 1""")
 def wn10(spark, d):
     exact, near = _exact(spark, d), _near(spark, d)
     from rampwise.operators.setops import without
@@ -103,10 +98,9 @@ def wn10(spark, d):
 
 
 @bind("ag10_code_map", sql="""
-    SELECT ia, ic FROM (
-        SELECT ia, ic, row_number() OVER (PARTITION BY ia ORDER BY count(*) DESC, ic) AS rn
-        FROM (SELECT substr(p_name, 1, 2) AS ia, regexp_extract(p_brand, '#([1-9])[0-9]', 1) AS ic FROM part)
-        GROUP BY 1, 2) WHERE rn = 1 AND ia <> '' AND ic <> ''""")
+    WITH tally AS (SELECT substr(p_name, 1, 2) AS ia, regexp_extract(p_brand, '#([1-9])[0-9]', 1) AS ic, count(*) AS n FROM part GROUP BY ALL),
+         top AS (SELECT ia, max(n) AS n FROM tally WHERE ia <> '' GROUP BY ia)
+    SELECT ia, min(ic) AS ic FROM tally JOIN top USING (ia, n) GROUP BY ia HAVING min(ic) <> ''""")
 def ag10(spark, d):
     p = table(spark, d, "part").select(F.substring("p_name", 1, 2).alias("ia"), S.key_part("p_brand", "#([1-9])[0-9]").alias("ic"))
     return groups.learn_code_map(p, "ia", "ic")

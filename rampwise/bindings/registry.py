@@ -140,6 +140,26 @@ def wx(spark, d):
         (F.col("val") / 3).alias("vis"), F.col("k").alias("wind"))
 
 
+def rolling_sql(name: str, source: str, key: str, code: str) -> str:
+    """Names of the relations of weather frames: `source` is reduced to instants, and each instant is joined with those of the twelve hours up to it."""
+    SQL[f"{name}_at"] = f"""
+    SELECT {key}, t, count(*) AS n, sum(coalesce(precip, 0)) AS rain, coalesce(sum(precip) FILTER (WHERE temp <= 3), 0) AS cold_rain,
+           count(*) FILTER (WHERE temp <= 3 AND (precip > 0 OR regexp_matches({code}, 'SI|PU'))) AS icy,
+           min(temp) AS low, min(vis) AS near, sum(vis) AS seen, count(vis) AS n_seen, coalesce(bool_or(temp > 0), false) AS warm
+    FROM {source} GROUP BY ALL"""
+    SQL[f"{name}_rolled"] = f"""
+    SELECT o.*, f.* EXCLUDE ({key}, t), thaws.t AS thaw
+    FROM {source} o JOIN (
+        SELECT now.{key}, now.t, sum(p.rain) AS p12, sum(p.cold_rain) AS pc12, min(p.low) AS tm12,
+               sum(p.rain) FILTER (WHERE in6) AS p6, sum(p.icy) FILTER (WHERE in6) / sum(p.n) FILTER (WHERE in6) AS df6,
+               min(p.near) FILTER (WHERE in3) AS vm3, sum(p.seen) FILTER (WHERE in3) / sum(p.n_seen) FILTER (WHERE in3) AS va3
+        FROM {name}_at now JOIN (SELECT * FROM {name}_at) p ON p.{key} = now.{key} AND p.t BETWEEN now.t - 43200000000 AND now.t,
+             LATERAL (SELECT now.t - p.t <= 21600000000 AS in6, now.t - p.t <= 10800000000 AS in3)
+        GROUP BY 1, 2) f ON f.{key} = o.{key} AND f.t = o.t
+    ASOF LEFT JOIN (SELECT {key}, t FROM {name}_at WHERE warm) thaws ON thaws.{key} = o.{key} AND thaws.t <= o.t"""
+    return f"{name}_at {name}_rolled"
+
+
 # --- events of a user as positions ---------------------------------------------------
 SQL["pt"] = """
     SELECT usr, t, id AS seq, kind <> 'error' AS ground, 'S' || CAST(k // 25 AS VARCHAR) AS site,
@@ -185,7 +205,7 @@ def movements(spark, d):
         F.concat(F.lit("S"), (F.col("usr") % 50).cast("string")).alias("stand"),
         F.concat(F.lit("R"), (F.col("k") % 3).cast("string")).alias("rwy"),
         F.concat(F.lit("T"), (F.col("k") % 11).cast("string")).alias("actype"),
-        F.concat(F.lit("P"), (F.col("id") % 17).cast("string")).alias("operator"))
+        F.concat(F.lit("P"), (F.col("id") % 17).cast("string")).alias("operator"), F.col("k").cast("string").alias("number"))
     base = base.withColumn("ref", F.when(F.col("id") % 13 != 0, F.col("fin") - F.col("taxi") - (F.col("id") % 7 - 3) * 30))
     base = base.withColumn("sched", F.when(F.col("id") % 29 != 0, F.col("fin") - 300 - F.col("id") * 37 % 3000))
     base = base.withColumn(
@@ -194,6 +214,7 @@ def movements(spark, d):
         .otherwise(F.col("fin") - F.col("taxi")))
     dep = F.col("phase") == "DEP"
     away = F.concat(F.lit("X"), F.col("site"))
+    letter = lambda first, n: F.char((F.lit(first) + F.col("id") % n).cast("int"))
     return base.select(
         F.col("id").alias("MVT_ID_mvt"), F.col("phase").alias("PHASE_mvt"),
         F.when(dep, F.col("site")).otherwise(away).alias("ADEP_mvt"),
@@ -207,4 +228,6 @@ def movements(spark, d):
         F.when(dep, F.col("fin") - F.col("start")).otherwise(F.col("start") - F.col("fin")).cast("double").alias("TAXITIME_SEC_mvt"),
         F.col("stand").alias("STAND_mvt"), F.col("rwy").alias("RUNWAY_mvt"), F.col("actype").alias("AIRCRAFT_TYPE_mvt"),
         F.lit("M").alias("WK_TBL_CAT_flt"), F.col("operator").alias("AIRCRAFT_OPERATOR_flt"),
-        F.lit("Scheduled").alias("MARKET_SEGMENT_flt"))
+        F.lit("Scheduled").alias("MARKET_SEGMENT_flt"),
+        F.when(F.col("id") % 13 != 0, F.concat(F.lit(" aa"), letter(65, 17), "number")).alias("CALLSIGN_flt"),
+        F.concat(letter(75, 15), F.lit("X"), "number").alias("FLIGHT_mvt"))

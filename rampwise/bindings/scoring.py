@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from rampwise.bindings.registry import SQL, big, bind, ev, gr, mx, pt, six, table
 from rampwise.functions import scalars as S
-from rampwise.operators import diagnose, evaluate, groups, occupancy, segments, trailing
+from rampwise.operators import diagnose, evaluate, groups, segments, trailing
 from rampwise.operators.quantiles import exact_quantiles
+from rampwise.plans import traces
 
 LV = groups.SITE_LEVELS
 MIN_N = (10, 1, 1)
@@ -619,21 +620,12 @@ def wn18(spark, d):
 SEG_GAP = 6 * 3600
 
 
-def _moving(spark, d):
-    p = pt(spark, d).withColumnRenamed("usr", "entity").withColumn("t", F.col("t") / 1_000_000)
-    s = segments.next_after(segments.summarise(segments.segments(p, max_gap=SEG_GAP)), SEG_GAP)
-    us = lambda c: F.round(F.col(c) * 1_000_000).cast("long")
-    return s.select("site", us("t_first_moving").alias("tm"), us("t_last_ground").alias("t1"), us("t_first_air").alias("ta"))
-
-
 @bind("wn19_traced_surface", uses="ev pt stepped flagged runs summ lifted", sql="""
     SELECT q.seq, CAST((SELECT count(*) FROM lifted l WHERE l.site = q.site AND l.tm < l.t1 AND l.tm < q.t AND l.t1 > q.t) AS BIGINT) AS moving_now,
            CAST((SELECT count(*) FROM lifted l WHERE l.site = q.site AND l.ta BETWEEN q.t - 900000000 AND q.t) AS BIGINT) AS lifted_prev15
     FROM pt q WHERE NOT ground""")
 def wn19(spark, d):
-    seg = _moving(spark, d)
-    probes = pt(spark, d).where("NOT ground").select("seq", "site", "t")
-    now = occupancy.occupancy_at(probes, seg, "site", "t", "tm", "t1", "seq", "moving_now")
-    lifts = trailing.trailing_counts(seg.where("ta IS NOT NULL").withColumn("kind", F.lit("lifted")), probes, "site", "ta", "kind",
-                                     ["lifted"], "seq", (900,), "t")
-    return now.join(lifts, "seq").select("seq", "moving_now", "lifted_prev15")
+    p = pt(spark, d).withColumnRenamed("usr", "entity").withColumn("t", F.col("t") / 1_000_000)
+    seg = segments.next_after(segments.summarise(segments.segments(p, max_gap=SEG_GAP)), SEG_GAP)
+    probes = p.where("NOT ground").select(F.col("seq").alias("id"), "site", F.col("t").alias("t_ref"))
+    return traces.surface_features(probes, seg).withColumnRenamed("id", "seq")

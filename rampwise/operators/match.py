@@ -12,21 +12,21 @@ def _slot(c: Column, width: float) -> Column:
     return F.floor(c / F.lit(width)).cast("long")
 
 
-def _spread(right: DataFrame, at: Column, width: float, out: str) -> DataFrame:
-    """The right side once in its own slot and once in each neighbour."""
-    home = _slot(at, width)
-    return right.withColumn(out, F.explode(F.array(home - 1, home, home + 1)))
+def _spread(right: DataFrame, at: Column, width: float, reach: float, out: str) -> DataFrame:
+    """The right side once in each slot that its reach touches."""
+    return right.withColumn(out, F.explode(F.sequence(_slot(at - F.lit(reach), width), _slot(at + F.lit(reach), width))))
 
 
 def match_any_key(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, int]], right_key: str,
-                  on: Sequence[str], lt: str, at: Column, width: float) -> DataFrame:
+                  on: Sequence[str], lt: str, at: Column, width: float, reach: float | None = None) -> DataFrame:
     """Pairs that agree on `on` and on any of the left keys, with times `lt` and `at` at most
-    `width` apart, tagged with the smallest kind.
+    `reach` (`width` where none is given) apart, tagged with the smallest kind.
 
     Each left row stands once per *different* key it has, so one equi join answers all keys and a
     pair appears once.  The slot of time is part of the join key: a key that many rows share is
-    spread over time and never paired as a whole.
+    spread over time and never paired as a whole. A right row is copied only to the slots its reach touches.
     """
+    reach = width if reach is None else reach
     items, earlier = [], []
     for column, kind in keys:
         fresh = F.col(column).isNotNull()
@@ -38,8 +38,8 @@ def match_any_key(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, i
         *left.columns, F.col("_k.key").alias("_key"), F.col("_k.kind").alias("kind"))
     rows = rows.withColumn("_slot", _slot(F.col(lt), width))
     held = right.where(F.col(right_key).isNotNull()).withColumns({"_key": F.col(right_key), "_at": at})
-    other = _spread(held, F.col("_at"), width, "_slot")
-    return (rows.join(other, [*on, "_key", "_slot"]).where(F.abs(F.col("_at") - F.col(lt)) <= width)
+    other = _spread(held.where(F.col("_at").isNotNull()), F.col("_at"), width, reach, "_slot")
+    return (rows.join(other, [*on, "_key", "_slot"]).where(F.abs(F.col("_at") - F.col(lt)) <= reach)
             .drop("_key", "_slot", "_at"))
 
 
@@ -63,7 +63,7 @@ def match_bucketed(left: DataFrame, right: DataFrame, on: Sequence[str], lt: str
     rows = left.withColumn("_slot", _slot(F.col(lt), width))
     for k in on:
         rows, right = rows.where(F.col(k).isNotNull()), right.where(F.col(k).isNotNull())
-    other = _spread(right.where(F.col(rt).isNotNull()), F.col(rt), width, "_slot")
+    other = _spread(right.where(F.col(rt).isNotNull()), F.col(rt), width, tol, "_slot")
     gap = F.abs(F.col(rt) - F.col(lt)).cast("double")
     return (rows.join(other, [*on, "_slot"]).where(gap <= tol).drop("_slot")
             .withColumns({"kind": F.lit(kind).cast("long"), "dist": gap}))

@@ -33,6 +33,8 @@ def canonical(raw: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
 
 TURN = ("turnaround_sec", "inbound_delay", "inbound_taxi_in")
 STATE = ("arr_taxi_day", "arr_taxi_day_n", "arr_taxi_prev6h")
+#: Made from a reference start of the row's own or of the rows around it.
+OWN_START = ("arr_taxi_mean60", "dep_recov_mean60", *TURN, *REVISIONS[1:])
 
 
 def with_turnaround(dep: DataFrame, mv: DataFrame, at: str, max_age: float = 86_400, form: str = "scaled") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rampwise.functions import scalars as S
-from rampwise.operators import groups, match, segments, setops
+from rampwise.operators import groups, match, occupancy, segments, setops, trailing
 from rampwise.operators.quantiles import medians
 from rampwise.session import pinned
 from rampwise.sources.traces import explode_points
@@ -16,6 +16,14 @@ from rampwise.sources.traces import explode_points
 SCHEMA_VERSION = 3
 OPTIONAL = {"path_m": "double", "stopped_s": "double", "n_stops": "bigint", "max_gs": "double",
             "actype": "string", "reg": "string"}
+#: What `trace_features` and `surface_features` make, by what a segment has to tell for it, and which of it needs a reference start of the row's own.
+FEATURES = {
+    "trace": ("day_covered", "present", "match_kind", "taxi_moving", "taxi_firstobs", "moving_vs_ref", "firstobs_vs_ref", "wait_before_moving", "n_ground"),
+    "trace_position": ("dist_stand_m", "gs_first"),
+    "trace_motion": ("path_m", "stopped_s", "n_stops", "max_gs", "mean_speed"),
+    "trace_surface": ("moving_now", "lifted_prev15"),
+}
+OWN_START = tuple(c for c in FEATURES["trace"] if c.endswith("_vs_ref"))
 
 
 def ground_segments(points: DataFrame, sites: Mapping[str, tuple[float, float]] | None = None, entity: str = "entity",
@@ -88,22 +96,24 @@ def match_traces(dep: DataFrame, seg: DataFrame, tol: float = 180, after: float
     """The accepted segment of each departure.
 
     Departures: id, site, cs, flt, t_off; callsigns and numbers are normalised on both sides. Segments: seg_id, site, callsign, t_first_air, t_last_ground
-    and whatever is to be carried. Kinds: 1 callsign, 2 flight number as callsign, 3 guessed callsign,
+    and whatever is to be carried, a row for each seg_id. The joins and the choice carry ids and times only; a segment's other columns
+    are brought to the accepted pairs once. Kinds: 1 callsign, 2 flight number as callsign, 3 guessed callsign,
     4 prefix and lift-off within `near` seconds, accepted only if it is the only one.
     """
     clean = lambda df: df.withColumns({c: key_text(c) for c in ("cs", "flt")})
     known = with_guesses(clean(dep), learn_from=None if learn_from is None else clean(learn_from)).select("id", "site", "cs", "flt", "cs_guess", "ic", "t_off")
-    held = seg.withColumn("seg_cs", S.normalise("callsign")).where(F.col("seg_cs").isNotNull())
+    held = seg.select("seg_id", "site", "t_first_air", "t_last_ground", S.normalise("callsign").alias("seg_cs")).where(F.col("seg_cs").isNotNull())
     anchor = F.coalesce("t_first_air", "t_last_ground")
     exact = match.match_any_key(known, held, [("cs", 1), ("flt", 2), ("cs_guess", 3)], "seg_cs", ["site"],
-                                "t_off", anchor, max(width, tol, after))
+                                "t_off", anchor, max(width, tol, after), max(tol, after))
     exact = match.within_reach(exact, "t_off", "t_first_air", "t_last_ground", tol, after)
     by_prefix = match.match_bucketed(
         known.where(F.col("ic") != ""), held.withColumn("ic", S.key_part("seg_cs", S.ALPHA_PREFIX)), ["site", "ic"],
         "t_off", "t_first_air", near, width)
     by_prefix = setops.without(by_prefix, exact, ["id", "seg_id"])
-    keep = ["id", *seg.columns, "kind", "dist"]
-    return match.accept(exact.select(keep).unionByName(by_prefix.select(keep)), "id", "seg_id").drop("site")
+    keep = ["id", "seg_id", "kind", "dist"]
+    best = match.accept(exact.select(keep).unionByName(by_prefix.select(keep)), "id", "seg_id")
+    return best.join(seg.drop("site"), "seg_id").select("id", *[c for c in seg.columns if c != "site"], "kind", "dist")
 
 
 def stand_distance(matched: DataFrame, dep: DataFrame, min_n: int = 5) -> DataFrame:
@@ -138,6 +148,20 @@ def trace_features(dep: DataFrame, seg: DataFrame, covered: DataFrame) -> DataFr
         S.safe_ratio("path_m", F.col("t_first_air") - F.col("t_first_moving")).alias("mean_speed"))
 
 
+def surface_features(dep: DataFrame, seg: DataFrame, at: str = "t_ref", window: float = 900) -> DataFrame:
+    """(id, moving_now, lifted_prev15): traced aircraft between first movement and last ground point at the departure's site at
+    its reference start (`at`), and lift-offs there in the `window` seconds up to it; all segments count, matched to a departure or not.
+
+    A segment that ends when a departure looks has left; one that starts then has not come yet. Departures without site or `at` have no row.
+    """
+    us = lambda c: F.round(F.col(c) * 1_000_000).cast("long").alias(c)
+    asked = dep.select("id", "site", us(at))
+    held = seg.select("site", us("t_first_moving"), us("t_last_ground"), us("t_first_air"), F.lit("lifted").alias("kind"))
+    now = occupancy.occupancy_at(asked, held, "site", at, "t_first_moving", "t_last_ground", "id", "moving_now")
+    lifts = trailing.trailing_counts(held.where("t_first_air IS NOT NULL"), asked, "site", "t_first_air", "kind", ["lifted"], "id", (window,), at)
+    return now.join(lifts.toDF("id", "lifted_prev15"), "id")
+
+
 def coverage_summary(features: DataFrame, scored: DataFrame) -> DataFrame:
     """(part, n, covered, present, pct_of_covered) for the scored and the training rows."""
     parts = setops.membership(features, scored, "id", "scored", "train", "part")

@@ -91,3 +91,14 @@ def test_trace_documents(spark, tmp_path):
         (0, 1000.0, True, 0.0, "DLH1", True), (1, 1010.0, True, 5.0, None, True), (4, 1060.0, False, 150.0, None, True)]
     seg = plans.ground_segments(points.withColumn("entity", F.col("hex")), {"S": (50.0, 8.0)}).first()
     assert (seg["site"], seg["callsign"], seg["t_first_moving"], seg["t_first_air"], seg["stale_first"]) == ("S", "DLH1", 1010.0, 1060.0, True)
+
+
+def test_reach_below_the_width_loses_no_pair(spark):
+    """Every difference up to the reach, also across slots and below zero; copies only where the reach goes."""
+    left = spark.createDataFrame([(i, "k", float(t)) for i, t in enumerate(range(-700, 700, 50))], "id long, key string, t double")
+    right = spark.createDataFrame([(i, "k", float(t)) for i, t in enumerate(range(-650, 650, 37))] + [(99, "k", None)], "rid long, rkey string, at double")
+    got = match.match_any_key(left, right, [("key", 1)], "rkey", [], "t", F.col("at"), 600, 360)
+    want = sorted((x.id, y.rid) for x in left.collect() for y in right.collect() if y.at is not None and abs(x.t - y.at) <= 360)
+    assert rows(got, "id", "rid") == want
+    spread = match._spread(right.where("at IS NOT NULL"), F.col("at"), 600, 90, "slot")
+    assert spread.count() < 1.6 * right.count()
