@@ -39,7 +39,32 @@ def op3_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_counts(read(spark, d, "documents"))
 
 
-@query()
+_SPACE = "\\x20\\x09-\\x0D"
+_STOPS = ", ".join(f"'{w}'" for w in sorted({w for line in quality.STOP_WORDS for w in line.split()}))
+_MEASURES = {
+    "mean_word": "word_chars / nullif(n_words, 0)", "symbols_per_word": "n_symbols / nullif(n_words, 0)",
+    "stop_share": f"len([x FOR x IN w IF lower(rtrim(x, '.,!?;:')) IN ({_STOPS})]) / nullif(n_words, 0)",
+    "letter_share": "len([x FOR x IN w IF regexp_matches(x, '\\p{L}')]) / nullif(n_words, 0)", "dup_line_share": "n_dup_lines / nullif(len(lines), 0)",
+    "ellipsis_share": "len([x FOR x IN lines IF suffix(x, '...') OR suffix(x, '…')]) / nullif(len(lines), 0)",
+    "bullet_share": f"len([x FOR x IN lines IF regexp_matches(x, '^[{_SPACE}]*[-*•]')]) / nullif(len(lines), 0)",
+}
+_RULES = " AND ".join(
+    f"(n_words < {r.words} OR coalesce({' AND '.join(f'{_MEASURES[r.measure]} {sign} {bound}' for sign, bound in (('>=', r.least), ('<=', r.most)) if bound is not None)}, true))"
+    for r in quality.RULES)
+QUALITY_SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+d AS (SELECT *, regexp_extract_all(text, '[^{_SPACE}]+') AS w, [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^{_SPACE}]')] AS lines FROM t),
+win AS (SELECT r, i, array_to_string(w[i:i + {quality.WINDOW - 1}], ' ') AS win FROM (SELECT r, w, unnest(range(1, len(w) - {quality.WINDOW} + 2)) AS i FROM d)),
+again AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, win) > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + {quality.WINDOW})) AS p FROM again) GROUP BY r),
+m AS (SELECT d.*, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+             len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM d LEFT JOIN rep USING (r)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND {_RULES} AS kept FROM b"""
+
+
+@query(QUALITY_SQL)
 def op4_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.judged(read(spark, d, "documents"))
 
