@@ -31,8 +31,13 @@ PREFIX, SIEVE, PAGE, HOT = 256, 1 << 25, 1 << 15, 1000
 
 def sieve(keys: DataFrame, key: str) -> DataFrame:
     """page and bits: the bits of those keys (longs) that come in several rows of `keys`."""
-    shared = keys.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.pmod(F.col(key), F.lit(SIEVE)).alias("bit"))
-    return pinned(shared.select(F.floor(F.col("bit") / PAGE).cast("long").alias("page"), (F.col("bit") % PAGE).alias("at")).groupBy("page").agg(F.bitmap_construct_agg("at").alias("bits")))
+    return sieve_of(keys.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), key)
+
+
+def sieve_of(keys: DataFrame, key: str) -> DataFrame:
+    """page and bits: the bits of all keys (longs) of `keys`."""
+    bits = keys.select(F.pmod(F.col(key), F.lit(SIEVE)).alias("bit"))
+    return pinned(bits.select(F.floor(F.col("bit") / PAGE).cast("long").alias("page"), (F.col("bit") % PAGE).alias("at")).groupBy("page").agg(F.bitmap_construct_agg("at").alias("bits")))
 
 
 def passing(rows: DataFrame, key: Column, table: DataFrame, flag: str) -> DataFrame:

@@ -27,7 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rampwise.llm.common import digest, mix, powers, row_hash, slices, text_bytes, whole
+from rampwise.llm.exact import passing, sieve_of
 from rampwise.llm.suffixes import suffix_array
+from rampwise.session import pinned
 
 LENGTH, GRAM, BLOCK, MOST, BATCH = 200, 32, 40, 2_000, 20_000
 _BYTES = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -219,7 +221,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST, tex
         hot_runs.select("doc_id", "h", F.struct("first", "last", none.cast("binary").alias("mask")).alias("m"))).unionByName(
         once.select("doc_id", "h", F.struct(F.col("start").alias("first"), F.lit(-1).cast("long").alias("last"), none.cast("binary").alias("mask")).alias("m")))
     per_row = all_marks.groupBy("doc_id", "h").agg(F.collect_set("m").alias("marks")).select(F.col("doc_id").alias("d"), F.col("h").alias("k"), "marks")
-    rows = base.join(per_row, base.doc_id.eqNullSafe(F.col("d")) & (base.h == F.col("k")), "left").select("doc_id", "text", "marks")
+    per_row = pinned(per_row)
+    # texts that no mark can name are finished where they stand; only the others meet their marks
+    sure = passing(base, F.xxhash64("doc_id", "h"), sieve_of(per_row.select(F.xxhash64("d", "k").alias("key")), "key"), "may_have")
+    whole_ones = sure.where("NOT may_have").select("doc_id", "text", none.cast(per_row.schema["marks"].dataType).alias("marks"))
+    met = sure.where("may_have").join(per_row, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k")), "left").select("doc_id", "text", "marks")
+    rows = whole_ones.unionByName(met)
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rampwise.llm.common import stored
-from rampwise.llm.exact import HOT, PAGE, SIEVE, passing, sieve
+from rampwise.llm.exact import HOT, passing, sieve, sieve_of
 from rampwise.session import pinned
 
 ARCHIVE_BYTES, BATCH_BYTES, LINES_PER_BLOCK, LINES_PER_TASK, READS_PER_TASK, READ_BYTES, MOST_TOP = 256 << 20, 32 << 20, 512, 200_000, 5_000, 2 << 20, 4_096
@@ -59,8 +59,7 @@ def _told(pages: DataFrame, least_bytes: int) -> DataFrame:
     shared = sieve(p.select(group.alias("group")).where("group IS NOT NULL"), "group")
     p = passing(p, group, shared, "may_share")
     groups = pinned(p.where("may_share").groupBy("digest", "size").agg(F.max("page_id").alias("head"), F.count("*").alias("n")))
-    stays = groups.select(F.pmod(F.xxhash64("digest", "size", "head"), F.lit(SIEVE)).alias("bit"))
-    stays = pinned(stays.groupBy(F.floor(F.col("bit") / PAGE).cast("long").alias("page")).agg(F.bitmap_construct_agg(F.col("bit") % PAGE).alias("bits")))
+    stays = sieve_of(groups.select(F.xxhash64("digest", "size", "head").alias("key")), "key")
     alone = p.where("NOT may_share").select("page_id", "url", "html", "digest", "size", F.lit(None).cast("long").alias("head"))
     # a group of nulls alone has a null head, and its rows are responses
     key = F.xxhash64("digest", "size", "page_id")
