@@ -57,7 +57,11 @@ def placed(df: DataFrame, key: Column, table: list[int], names: list[str], keep:
 
 
 def write_shards(df: DataFrame, key: Column, table: list[int], names: list[str], path: str, files: int = 8) -> None:
-    """The rows as Parquet under shard=…; a hot shard is spread over `files` writers by the row's slot."""
-    keep = [c for c in df.columns if c not in ("slot", "shard")]
-    rows = placed(df.select(*keep), key, table, names, keep)
-    rows.repartition(len(names) * files, "shard", F.pmod(F.xxhash64(*[F.col(c) for c in keep]), F.lit(files))).drop("slot").write.partitionBy("shard").mode("overwrite").parquet(path)
+    """The rows as Parquet under shard=…; a hot shard is spread over `files` writers by a hash of the row.
+
+    All columns are written; a column named shard is refused. An empty table writes an empty folder.
+    """
+    if any(c.lower() == "shard" for c in df.columns):
+        raise ValueError("the table has a column named shard, which the folders are named by: rename it first")
+    rows = placed(df.select(F.struct("*").alias("row"), key.alias("key")), F.col("key"), table, names, ["row"])
+    rows.repartition(len(names) * files, "shard", F.pmod(F.xxhash64("row"), F.lit(files))).select("row.*", "shard").write.partitionBy("shard").mode("overwrite").parquet(path)

@@ -290,6 +290,12 @@ def test_sharded_files(docs):
     sharding.write_shards(docs, F.col("doc_id"), sharding.lookup(shards, 101), list(shards), path, files=2)
     back = docs.sparkSession.read.parquet(path)
     assert back.count() == docs.count() and {r[0] for r in back.select("shard").distinct().collect()} == {"a", "b"}
+    assert set(back.columns) == {*docs.columns, "shard"} and back.where("slot IS NULL").count() == docs.where("slot IS NULL").count()
+    with pytest.raises(ValueError):
+        sharding.write_shards(docs.withColumnRenamed("slot", "Shard"), F.col("doc_id"), sharding.lookup(shards, 101), list(shards), path)
+    empty = scratch_path(docs.sparkSession, "shards")
+    sharding.write_shards(docs.limit(0), F.col("doc_id"), sharding.lookup(shards, 101), list(shards), empty)
+    assert docs.sparkSession.read.schema(docs.schema).parquet(empty).count() == 0
 
 
 def test_warc_round_trip(spark):
