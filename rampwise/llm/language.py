@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rampwise.llm.common import on_row, only, row_hash, slices, whole
+from rampwise.llm.exact import HOT
 from rampwise.session import pinned
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -112,6 +113,23 @@ def votes(rows: DataFrame, n: int, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.array(*[F.sum((F.col("vote") == k).cast("double")) for k in range(n)]).alias("votes"))
 
 
+def with_votes(rows: DataFrame, level: str, n: int, total: int) -> DataFrame:
+    """The rows with the votes of their `level`; `_row` numbers the rows.
+
+    Values with more than 1/HOT of all rows are fewer than HOT and are given to their rows by broadcast. The rest are joined, and rows
+    that have their votes already, or no value, are dealt by their own number.
+    """
+    out = f"{level}_votes"
+    table = pinned(votes(rows.where(F.col(level).isNotNull()), n, level).select(F.col(level).alias("_value"), F.col("votes").alias(out)))
+    size = F.aggregate(F.col(out), F.lit(0.0), lambda s, x: s + x)
+    hot = table.where(size * HOT > total).select(F.col("_value").alias("_hot_value"), F.col(out).alias("_hot_votes"))
+    cool = table.where(size * HOT <= total).withColumn("_open_too", F.lit(True))
+    told = rows.join(F.broadcast(hot), F.col(level) == F.col("_hot_value"), "left").withColumn("_open", F.col(level).isNotNull() & F.col("_hot_votes").isNull())
+    told = told.withColumn("_deal", F.when(F.col("_open"), F.col(level)).otherwise(F.col("_row").cast("string")))
+    met = told.join(cool, (F.col("_deal") == F.col("_value")) & (F.col("_open") == F.col("_open_too")), "left")
+    return met.withColumn(out, F.coalesce(out, "_hot_votes")).drop("_hot_value", "_hot_votes", "_open", "_open_too", "_deal", "_value")
+
+
 def vector(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
@@ -125,10 +143,10 @@ def identified(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataF
     names, n = [*languages, UNKNOWN], len(languages) + 1
     text = rows.withColumn("text", whole())
     base = scored(text, trained(text, languages))
-    base = pinned(base.withColumn("vote", F.when(F.col("n_grams") > 0, best(F.col("ll"))).otherwise(n - 1)))  # read once more for each table of counts
+    base = pinned(base.withColumn("vote", F.when(F.col("n_grams") > 0, best(F.col("ll"))).otherwise(n - 1)).withColumn("_row", F.monotonically_increasing_id()))  # read once more for each table of counts
     share = votes(base, n).first()  # one row
     overall = np.array(share["votes"] if share and share["votes"][0] is not None else [0.0] * n) + 1
-    prior = vector(overall / overall.sum())
+    prior, total = vector(overall / overall.sum()), overall.sum() - n
     # how languages are declared: at most classes x classes numbers
     said = {r["declared"]: r["votes"] for r in votes(base.withColumn("declared", F.when(F.col("declared").isin(*languages), F.col("declared")).when(
         F.col("declared").isNotNull(), "other")), n, "declared").collect()}
@@ -143,8 +161,7 @@ def identified(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataF
     smooth = lambda votes, parent: F.zip_with(votes, parent, lambda v, p: (v + STRENGTH * p) / (F.aggregate(votes, F.lit(0.0), lambda s, x: s + x) + STRENGTH))
     out = base
     for level in ("suffix", "domain", "host"):
-        table = votes(base.where(F.col(level).isNotNull()), n, level).select(F.col(level).alias("key"), F.col("votes").alias(f"{level}_votes"))
-        out = out.join(table, F.col(level) == F.col("key"), "left").drop("key")
+        out = with_votes(out, level, n, int(total))
     out = out.withColumn("p", F.when(F.col("suffix").isNotNull(), smooth(F.col("suffix_votes"), prior)).otherwise(prior))
     out = out.withColumn("p", F.when(F.col("domain").isNotNull(), smooth(F.col("domain_votes"), F.col("p"))).otherwise(F.col("p")))
     out = out.withColumn("p", F.when(F.col("host").isNotNull(), smooth(F.col("host_votes"), F.col("p"))).otherwise(F.col("p")))
@@ -152,7 +169,7 @@ def identified(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataF
     out = out.withColumn("pick", F.when(F.col("n_grams") > 0, best(F.col("score"))).otherwise(n - 1))
     top = F.array_max("score")
     sure = F.lit(1.0) / F.aggregate("score", F.lit(0.0), lambda s, x: s + F.exp(x - top))
-    drop = ["ll", "n_grams", "vote", "suffix_votes", "domain_votes", "host_votes", "p", "score", "pick", "declared", "suffix", "domain", "host"]
+    drop = ["_row", "ll", "n_grams", "vote", "suffix_votes", "domain_votes", "host_votes", "p", "score", "pick", "declared", "suffix", "domain", "host"]
     return out.withColumns({"language": F.get(F.array(*map(F.lit, names)), F.col("pick")), "confidence": F.when(F.col("n_grams") > 0, F.round(sure, 6)).otherwise(F.lit(1.0)),
                             "kept": F.col("pick") != n - 1}).drop(*drop)
 
