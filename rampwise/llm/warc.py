@@ -8,7 +8,7 @@ Each task names its own files and gives back the places of its records; only a f
 
 Index: each capture's line is keyed by the address with its host reversed, then the id. Sorted lines are packed into
 compressed blocks; the sparse directory of the blocks (first key, place) is sorted lines of the same form, and is packed again until at
-most `MOST_TOP` are left: two levels up to a million captures, three up to half a billion. A lookup walks down by binary search and a range
+most `MOST_TOP` are left: two levels up to two million captures, three up to a billion. A lookup walks down by binary search and a range
 read for each block, then reads only the record's own bytes from the archive. Wanted keys come sorted, so a block is opened once in a task.
 
 A null payload is empty (and equal to other empty ones); a null address is kept as such; null ids
