@@ -398,3 +398,50 @@ def test_language_query_identifies_all_documents_and_pages(spark, data, tmp_path
     read(spark, data, "documents").write.parquet(f"{tmp_path}/documents.parquet")
     told = {r["page_id"]: r["language"] for r in QUERIES["op10_language"](spark, str(tmp_path)).where("page_id >= 2000").collect()}
     assert told == {2000: "de", 2001: "en", 2002: "de", 2003: "de", 2004: "en"}
+
+
+def test_language_fusion_equals_a_plain_posterior(spark, monkeypatch):
+    """Votes, hierarchically smoothed priors and posteriors in plain Python from the texts' likelihoods, with hot and rare values, and with rare ones only."""
+    import math
+
+    ship(spark)
+    words = {"de": "der die und das ist nicht ein eine mit von zu auf", "en": "the and of to in that is for it with as was"}
+    rows = [(i, f"https://w{i % 4}.site{i % 7}.{'com' if i % 5 else 'de'}/{i}" if i % 11 else None,
+             f"<html{' lang=' + chr(34) + ('de', 'en', 'xx')[i % 3] + chr(34) if i % 2 else ''}><p>{' '.join(words['de' if i % 3 == 0 else 'en'].split()[i % 6: i % 6 + 1 + i % 5])}</p></html>" if i % 13 else None)
+            for i in range(160)] + [(7, "https://w3.site0.com/7", "<html><p>in</p></html>")] * 2
+    base = language.from_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).withColumn("text", F.coalesce("text", F.lit("")))
+    languages = tuple(sorted(language.LANGUAGES))
+    names, n, s = [*languages, language.UNKNOWN], len(languages) + 1, language.STRENGTH
+    told = language.scored(base, language.trained(base, languages)).collect()
+    vote = [r["ll"].index(max(r["ll"])) if r["n_grams"] > 0 else n - 1 for r in told]
+
+    def counts(of):
+        found = {}
+        for r, v in zip(told, vote):
+            if of(r) is not None:
+                found.setdefault(of(r), [0.0] * n)[v] += 1
+        return found
+
+    said = counts(lambda r: None if r["declared"] is None else r["declared"] if r["declared"] in languages else "other")
+    known = [*languages, "other"]
+    seen = {d: [x + 1 for x in said.get(d, [0.0] * n)] for d in known}
+    overall = [1.0 + vote.count(k) for k in range(n)]
+    tables = {level: counts(lambda r: r[level]) for level in ("suffix", "domain", "host")}
+    want = []
+    for r in told:
+        p = [x / sum(overall) for x in overall]
+        for level, table in tables.items():
+            if r[level] is not None:
+                v = table[r[level]]
+                p = [(a + s * b) / (sum(v) + s) for a, b in zip(v, p)]
+        d = None if r["declared"] is None else seen[r["declared"] if r["declared"] in languages else "other"]
+        score = [r["ll"][k] + (math.log(d[k] / sum(seen[x][k] for x in known)) if d else 0.0) + math.log(p[k]) for k in range(n)]
+        pick = score.index(max(score)) if r["n_grams"] > 0 else n - 1
+        sure = 1 / sum(math.exp(x - max(score)) for x in score) if r["n_grams"] > 0 else 1.0
+        want.append((r["page_id"], names[pick], round(sure, 5), pick != n - 1))
+    for hot in (language.HOT, 10, 1):  # all values are hot, some, none
+        monkeypatch.setattr(language, "HOT", hot)
+        got = [(r["page_id"], r["language"], round(r["confidence"], 5), r["kept"]) for r in language.identified(base).collect()]
+        assert len(got) == len(want)
+        for a, b in zip(sorted(got), sorted(want)):
+            assert a[:2] == b[:2] and a[3] == b[3] and abs(a[2] - b[2]) < 3e-5
