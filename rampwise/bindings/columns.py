@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from rampwise.bindings.registry import big, bind, ev, gr, mx, pt, six, table, wx
 from rampwise.functions import scalars as S
-from rampwise.operators import groups, setops
+from rampwise.operators import groups, setops, sites
 from rampwise.plans import departures
-from rampwise.sources import files, sinks, traces
+from rampwise.sources import archives, files, sinks, traces
 from rampwise.session import scratch_path
 
 
@@ -68,7 +68,7 @@ def src5(spark, d):
     return rows.select("station", "code", S.parse_sentinel("p01i", {"T": 0.001}).alias("precip"))
 
 
-def _documents(spark, d, daily: bool = True):
+def _documents(spark, d, daily: bool = True, damaged: bool = True):
     """One document per user and day, in the shape of a trace file."""
     p = pt(spark, d)
     day = 86_400_000_000
@@ -76,14 +76,14 @@ def _documents(spark, d, daily: bool = True):
     entry = F.concat(
         F.lit("["), F.concat_ws(
             ",", (F.col("t") / 1_000_000 - F.col("base")).cast("decimal(20,6)").cast("string"),
-            F.when(F.col("seq") % 50 == 0, "null").otherwise(F.col("lat").cast("string")), F.col("lon").cast("string"),
+            F.when(F.lit(damaged) & (F.col("seq") % 50 == 0), "null").otherwise(F.col("lat").cast("string")), F.col("lon").cast("string"),
             F.when(F.col("ground"), '"ground"').otherwise("3500"), F.col("gs").cast("string"), F.lit("90"),
             (F.col("seq") % 4).cast("string"), F.lit("null"),
             F.when(F.col("callsign").isNull(), "null")
             .otherwise(F.concat(F.lit('{"flight":" '), F.col("callsign"), F.lit(' "}')))), F.lit("]"))
     # A third of the odd entries is cut short.
-    entry = F.when(F.col("seq") % 37 == 0, F.lit("[1,2,3]")).otherwise(entry)
-    grouped = p.groupBy("usr", "base").agg(F.sort_array(F.collect_list(F.struct("t", entry.alias("e")))).alias("x"))
+    entry = F.when(F.lit(damaged) & (F.col("seq") % 37 == 0), F.lit("[1,2,3]")).otherwise(entry)
+    grouped = p.groupBy("usr", "base").agg(F.sort_array(F.collect_list(F.struct("t", "seq", entry.alias("e")))).alias("x"))
     body = F.concat(F.lit('{"icao":"h'), F.col("usr").cast("string"), F.lit('","timestamp":'),
                     F.col("base").cast("long").cast("string"), F.lit(',"trace":['),
                     F.concat_ws(",", F.col("x.e")), F.lit("]}"))
@@ -107,6 +107,20 @@ def src6(spark, d):
                                     F.when(F.count("doc") > 0, points).otherwise(F.lit(0)).cast("long").alias("points"))
 
 
+@bind("src6_scan_archives", uses="ev", sql="""
+    SELECT CASE WHEN usr % 25 = 0 THEN 'malformed' END AS error, CAST(count(DISTINCT usr) AS BIGINT) AS files,
+           CAST(count(DISTINCT CASE WHEN usr % 25 <> 0 THEN usr END) AS BIGINT) AS parsed,
+           CAST(count(CASE WHEN usr % 25 <> 0 AND id % 50 <> 0 AND id % 37 <> 0 THEN 1 END) AS BIGINT) AS points FROM ev GROUP BY 1""")
+def src6_archives(spark, d):
+    whole = _documents(spark, d, daily=False)
+    cut = F.when(F.col("usr") % 25 == 0, F.substring("body", 1, 20)).otherwise(F.col("body"))
+    path = archives.write_archives(whole.select("usr", cut.alias("body")), scratch_path(spark, "archives"), "usr")
+    out = archives.scan_archives(spark, path, 1 << 20)
+    points = traces.explode_points(out.where("doc IS NOT NULL"), keep=("path",)).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    return out.join(points, "path", "left").groupBy("error").agg(
+        F.count(F.lit(1)).alias("files"), F.count("doc").alias("parsed"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("points"))
+
+
 @bind("src7_explode_points", uses="ev pt", sql="""
     SELECT 'h' || CAST(usr AS VARCHAR) AS hex, t AS t_us, lat, round(lon, 9) AS lon, ground, round(gs, 6) AS gs,
            seq % 2 = 1 AS stale, callsign
@@ -341,6 +355,17 @@ def prj18(spark, d):
     return pt(spark, d).select("seq", S.site_of("lat", "lon", SITES, 0.02, 0.03).alias("site"))
 
 
+@bind("prj18_site_join", uses="ev pt", sql="""
+    SELECT p.*, s.site FROM (SELECT seq, lat, round(lon, 9) AS lon FROM pt) p LEFT JOIN (
+        SELECT seq, arg_min('P' || CAST(p_partkey AS VARCHAR), (p_size, 'P' || CAST(p_partkey AS VARCHAR))) AS site
+        FROM pt JOIN part ON abs(lat - p_partkey % 101 / 1000.0::DOUBLE) <= 0.0006 AND abs(lon - p_partkey % 163 / 1000.0::DOUBLE) <= 0.0009
+        GROUP BY 1) s ON s.seq = p.seq""")
+def prj18_join(spark, d):
+    name = F.concat(F.lit("P"), F.col("p_partkey").cast("string"))
+    places = table(spark, d, "part").select(name.alias("site"), (F.col("p_partkey") % 101 / 1000).alias("lat"), (F.col("p_partkey") % 163 / 1000).alias("lon"), F.col("p_size").alias("rank"))
+    return sites.site_join(pt(spark, d).select("seq", "lat", "lon"), places, 0.0006, 0.0009).select("seq", "lat", six("lon", "lon", 9), "site")
+
+
 @bind("prj19_safe_ratio", sql="SELECT l_orderkey, l_linenumber, l_tax / nullif(l_discount, 0) AS ratio FROM lineitem")
 def prj19(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.safe_ratio("l_tax", "l_discount").alias("ratio"))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rampwise.bindings.columns import _documents
 from rampwise.bindings.registry import SQL, big, bind, ev, pt, six, table
 from rampwise.functions import scalars as S
-from rampwise.operators import groups, match, segments
+from rampwise.operators import groups, match, segments, sites
 from rampwise.plans import traces
+from rampwise.session import scratch_path
+from rampwise.sources.archives import scan_archives, write_archives
 
 # Purchases are matched to views: three keys, then a prefix with a close time.
 SQL["km_l"] = """
@@ -199,7 +202,7 @@ def ag16(spark, d):
     return segments.run_names(runs, real, p)
 
 
-@bind("fb7_ground_segments", uses=RUNS + " summ lifted moved named", sql="""
+FB7 = """
     SELECT l.usr AS entity, CAST(l.seg AS BIGINT) AS seg, l.site, CAST(l.n AS BIGINT) AS n_ground, l.t0, l.tm, l.t1, l.ta,
            n.callsign, round(m.stopped_s, 3) AS stopped_s, round(m.path_m, 3) AS path_m
     FROM lifted l LEFT JOIN named n USING (usr, seg)
@@ -208,9 +211,25 @@ def ag16(spark, d):
                           + pow((lon - plon) * 111320.0 * cos(radians(lat)), 2)) ELSE 0 END) AS path_m
                FROM (SELECT *, (t - pt) / 1000000 AS dt, coalesce(t >= tm, false) AND NOT opens AND (t - pt) BETWEEN 1 AND 300000000 AS step
                      FROM (SELECT *, min(CASE WHEN gs >= 3 THEN t END) OVER (PARTITION BY usr, seg) AS tm FROM runs))
-               GROUP BY 1, 2) m USING (usr, seg)""")
-def fb7(spark, d):
-    out = traces.ground_segments(_points(spark, d), max_gap=GAP, within=WITHIN)
+               GROUP BY 1, 2) m USING (usr, seg)"""
+
+
+def _segments_out(out):
     return out.select("entity", "seg", "site", "n_ground", _us("t_first_ground", "t0"), _us("t_first_moving", "tm"),
                       _us("t_last_ground", "t1"), _us("t_first_air", "ta"), "callsign", six("stopped_s", "stopped_s", 3),
                       six("path_m", "path_m", 3))
+
+
+@bind("fb7_ground_segments", uses=RUNS + " summ lifted moved named", sql=FB7)
+def fb7(spark, d):
+    return _segments_out(traces.ground_segments(_points(spark, d), max_gap=GAP, within=WITHIN))
+
+
+@bind("fb7_archive_segments", uses=RUNS + " summ lifted moved named", sql=FB7)
+def fb7_archives(spark, d):
+    """The same from documents: written to archives, read by ranges, sites found by their boxes."""
+    docs = _documents(spark, d, daily=False, damaged=False)
+    path = write_archives(docs, scratch_path(spark, "archives"), "usr")
+    places = sites.site_table(spark, {f"S{i}": (0.012 + 0.025 * i, 0.0) for i in range(4)})
+    out = traces.segments_of_documents(scan_archives(spark, path), places, max_gap=GAP, within=WITHIN, box=(0.0122, 360.0))
+    return _segments_out(out.withColumn("entity", F.substring("hex", 2, 20).cast("long")))

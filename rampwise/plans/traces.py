@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from rampwise.functions import scalars as S
 from rampwise.operators import groups, match, occupancy, segments, setops, trailing
 from rampwise.operators.quantiles import medians
+from rampwise.operators.sites import site_join
 from rampwise.session import pinned
 from rampwise.sources.traces import explode_points
 
 SCHEMA_VERSION = 3
+#: Half the height and width of a site's box in degrees.
+BOX = (0.06, 0.09)
 OPTIONAL = {"path_m": "double", "stopped_s": "double", "n_stops": "bigint", "max_gs": "double",
             "actype": "string", "reg": "string"}
 #: What `trace_features` and `surface_features` make, by what a segment has to tell for it, and which of it needs a reference start of the row's own.
@@ -26,15 +29,17 @@ FEATURES = {
 OWN_START = tuple(c for c in FEATURES["trace"] if c.endswith("_vs_ref"))
 
 
-def ground_segments(points: DataFrame, sites: Mapping[str, tuple[float, float]] | None = None, entity: str = "entity",
-                    max_gap: float = 1800, within: float = 1200, moving: float = 3) -> DataFrame:
+def ground_segments(points: DataFrame, sites: Mapping[str, tuple[float, float]] | DataFrame | None = None, entity: str = "entity",
+                    max_gap: float = 1800, within: float = 1200, moving: float = 3, box: tuple[float, float] = BOX) -> DataFrame:
     """One row per run on ground: times, positions, callsign, movement along the surface.
 
     `points` come from `explode_points` with an `entity` (an aircraft, or an aircraft and day);
-    the site is looked up from `sites` or taken from a column of that name.
+    the site is looked up from `sites` (a few by name, or a table as `site_join` takes it) or taken from a column of that name.
     """
-    if sites is not None:
-        points = points.withColumn("site", S.site_of("lat", "lon", sites))
+    if isinstance(sites, DataFrame):
+        points = site_join(points, sites, *box)
+    elif sites is not None:
+        points = points.withColumn("site", S.site_of("lat", "lon", sites, *box))
     # Four aggregates read the runs: they are cut from the trace scan and its windows once.
     runs = pinned(segments.segments(points, entity, max_gap))
     summary = segments.next_after(segments.summarise(runs, entity, moving), within)
@@ -44,7 +49,7 @@ def ground_segments(points: DataFrame, sites: Mapping[str, tuple[float, float]]
             .withColumn("schema", F.lit(SCHEMA_VERSION)).drop("seq_last"))
 
 
-def segments_of_documents(docs: DataFrame, sites: Mapping[str, tuple[float, float]] | None = None, **options) -> DataFrame:
+def segments_of_documents(docs: DataFrame, sites: Mapping[str, tuple[float, float]] | DataFrame | None = None, **options) -> DataFrame:
     """From trace documents (path, doc) to ground segments with the aircraft's hex, actype and reg and a `seg_id`.
 
     A document is an entity: runs never go on from one into the next. Documents that could not be read have no points.

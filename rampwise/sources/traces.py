@@ -13,29 +13,34 @@ from pyspark.sql import functions as F
 GZIP_MAGIC = b"\x1f\x8b"
 
 
+def inflated(raw: bytes) -> tuple[str | None, str | None]:
+    """(text, error) of a document's bytes, gzipped or not."""
+    try:
+        data = gzip.decompress(raw) if raw[:2] == GZIP_MAGIC else bytes(raw)
+        return data.decode("utf-8"), None
+    except (OSError, EOFError, zlib.error, UnicodeDecodeError) as problem:
+        return None, type(problem).__name__
+
+
 def _inflate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     # The text reader picks a codec by file extension; these files carry none.
     for batch in batches:
-        texts, errors = [], []
-        for raw in batch["content"]:
-            try:
-                data = gzip.decompress(raw) if raw[:2] == GZIP_MAGIC else bytes(raw)
-                texts.append(data.decode("utf-8"))
-                errors.append(None)
-            except (OSError, EOFError, zlib.error, UnicodeDecodeError) as problem:
-                texts.append(None)
-                errors.append(type(problem).__name__)
-        yield pd.DataFrame({"path": batch["path"], "body": texts, "error": errors})
+        found = [inflated(raw) for raw in batch["content"]]
+        yield pd.DataFrame({"path": batch["path"], "body": [x[0] for x in found], "error": [x[1] for x in found]})
 
 
 def scan_traces(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """(path, doc, error): a document that cannot be inflated or parsed has a null doc and says why."""
     raw = (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
            .option("recursiveFileLookup", "true").load(path).select("path", "content"))
-    text = raw.mapInPandas(_inflate, "path string, body string, error string")
+    return parsed(raw.mapInPandas(_inflate, "path string, body string, error string"))
+
+
+def parsed(texts: DataFrame) -> DataFrame:
+    """(path, doc, error) from (path, body, error)."""
     doc = F.try_parse_json("body")
-    return text.select("path", doc.alias("doc"),
-                       F.coalesce("error", F.when(F.col("body").isNotNull() & doc.isNull(), "malformed")).alias("error"))
+    return texts.select("path", doc.alias("doc"),
+                        F.coalesce("error", F.when(F.col("body").isNotNull() & doc.isNull(), "malformed")).alias("error"))
 
 
 def explode_points(docs: DataFrame, doc: str = "doc", base: str = "$.timestamp", array: str = "$.trace",
