@@ -8,7 +8,7 @@ from rampwise.bindings.registry import big, bind, ev, gr, mx, pt, six, table, wx
 from rampwise.functions import scalars as S
 from rampwise.operators import groups, setops, sites
 from rampwise.plans import departures
-from rampwise.sources import archives, files, sinks, traces
+from rampwise.sources import archives, files, published, sinks, traces
 from rampwise.session import scratch_path
 
 
@@ -206,6 +206,32 @@ def snk3(spark, d):
     return spark.read.parquet(path).groupBy(big("day", "day")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@bind("snk3_publish_days", sql="""
+    SELECT CAST(ts AS DATE) AS day, event_type, CAST(count(*) AS BIGINT) AS n FROM events
+    WHERE event_type = CASE WHEN day(ts) % 3 = 0 THEN 'click' ELSE 'error' END GROUP BY ALL""")
+def snk3_published(spark, d):
+    """Errors of all days are published, then clicks in place of every third day's; the first run once more changes nothing."""
+    e = table(spark, d, "events").select("event_type", F.to_date("ts").alias("day"))
+    path = scratch_path(spark, "published")
+    for kind, days, run in (("error", F.lit(True), "errors"), ("click", F.dayofmonth("day") % 3 == 0, "clicks"), ("error", F.lit(True), "errors")):
+        published.publish_days(e.where((F.col("event_type") == kind) & days), path, "day", run)
+    return published.read_published(spark, path).groupBy("day", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@bind("src11_published_todo", sql="""
+    SELECT DISTINCT CAST(ts AS DATE) AS day FROM events EXCEPT
+    SELECT CAST(ts AS DATE) FROM events WHERE event_type = 'purchase' AND day(ts) % 2 = 0""")
+def src11_published(spark, d):
+    """Even days are published in the current version, odd ones in an older one."""
+    e = table(spark, d, "events").select("event_id", "event_type", F.to_date("ts").alias("day"))
+    path = scratch_path(spark, "published")
+    for version in (3, 2):
+        rest = F.dayofmonth("day") % 2 == 3 - version
+        published.publish_days(e.where((F.col("event_type") == "purchase") & rest), path, "day", f"v{version}", version)
+    done = published.published(spark, path).select(F.col("day").cast("date").alias("day"), "version")
+    return files.todo(e.select("day"), done, 3)
+
+
 @bind("snk4_fill_template", sql="""
     SELECT c_custkey, CAST(round(coalesce(spend, 900)) AS INTEGER) AS spend FROM customer
     LEFT JOIN (SELECT o_custkey, avg(o_totalprice / 6.1803398875) AS spend FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1)
