@@ -9,6 +9,9 @@ learn how likely the strict rule holds. On the documents held out, each kind's t
 least score from which on at least `PRECISION` of the candidates are strict ones; loose candidates of
 such codes become spans. All of it is DataFrame operations and Spark's own trees.
 
+A text is worked on in pieces between which no pattern can match (`PIECES`), so a long one costs as much for a character as a short one;
+only a long stretch of digits, dots and blanks without any other sign stays one piece.
+
 Null and empty texts have no spans. Places are code points, ends exclusive. Repeated rows and
 ids each get a row; extra columns are ignored (kept by `redacted`). An empty table, or one whose
 candidates are all strict or all loose, adds no spans.
@@ -56,56 +59,66 @@ FEATURES = ("kind", "before", "after", "cue", "digits", "separators", "brackets"
 #: A kind without LEAST held-out candidates above its threshold adds no spans.
 PRECISION, TREES, DEPTH, HELD_OUT, LEAST = 0.9, 12, 3, 4, 20
 SPAN = "struct<start:int,end:int,value:string>"
+#: A text is cut into pieces of about PIECE characters where no pattern can match across: behind a sign that none of them has, and at a
+#: blank between letters or a letter and a digit. All work on spans is within a piece, so it grows with the text and not with its square.
+PIECE, CONTEXT = 2048, 24
+CUT = r"(?:(?<=[^A-Za-z0-9._%+@\x20\[\]()/-])|(?<=[A-Za-z]\x20)(?=[A-Za-z0-9])|(?<=[A-Za-z0-9]\x20)(?=[A-Za-z]))"
+PIECES = rf"(?s).{{1,{PIECE}}}(?:\z|{CUT})|.+?(?:\z|{CUT})"
 _BLOCK = 64
 
 
-def _found(text: str, patterns: dict[str, str], suffix: str) -> tuple[list[Column], list[Column]]:
-    """First step: for each kind the matches, and the lengths of gaps and matches in turn."""
-    matches, gaps = [], []
-    for k in KINDS:
-        may = F.col(text).rlike(NEEDS[k])
-        p = F.lit(patterns[k])
-        matches.append(F.when(may, F.regexp_extract_all(text, p, F.lit(0))).otherwise(F.array().cast("array<string>")).alias(f"{k}_m{suffix}"))
-        gaps.append(F.when(may, F.transform(F.split(text, patterns[k], -1), lambda s: F.char_length(s))).otherwise(F.array().cast("array<int>")).alias(f"{k}_g{suffix}"))
-    return matches, gaps
-
-
 def _total(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0), lambda s, x: s + x)
 
 
-def _steps(m: str, gaps: str) -> Column:
-    return F.transform(F.col(m), lambda v, i: F.get(F.col(gaps), i) + F.char_length(v))
-
-
-def _blocks(steps: str) -> Column:
-    """Sums of the full blocks of a long list; with them the place of a match takes few steps however many come before."""
+def _blocks(steps: Column) -> Column:
+    """Sums of the full blocks of a list; with them the sum before any place takes few steps however many come before."""
     last = F.floor((F.size(steps) - 1) / _BLOCK).cast("int")
-    return F.when(F.size(steps) > _BLOCK, F.transform(F.sequence(F.lit(0), last), lambda b: _total(F.slice(F.col(steps), b * _BLOCK + 1, F.lit(_BLOCK))))).otherwise(
+    return F.when(F.size(steps) > _BLOCK, F.transform(F.sequence(F.lit(0), last), lambda b: _total(F.slice(steps, b * _BLOCK + 1, F.lit(_BLOCK))))).otherwise(
         F.array().cast("array<int>"))
 
 
-def _spans(m: str, steps: str, blocks: str) -> Column:
-    """Spans from matches, the lengths from match to match, and the sums of their blocks."""
-    start = lambda i: (_total(F.slice(F.col(blocks), 1, F.floor(i / _BLOCK).cast("int")))
-                       + _total(F.slice(F.col(steps), (F.floor(i / _BLOCK) * _BLOCK + 1).cast("int"), i % _BLOCK)))
-    gaps = m.replace("_m", "_g")
+def _before(steps: Column, blocks: Column, i: Column) -> Column:
+    """Sum of the steps before place i."""
+    return (_total(F.slice(blocks, 1, F.floor(i / _BLOCK).cast("int")))
+            + _total(F.slice(steps, (F.floor(i / _BLOCK) * _BLOCK + 1).cast("int"), i % _BLOCK)))
+
+
+def cut(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """The kept columns with `_p`, the pieces of the text, and for each piece where it begins (`_at`), itself behind the
+    end of the piece before (`_near`) and the length of that end (`_lead`)."""
+    rows = rows.select(*keep, F.regexp_extract_all(whole(text), F.lit(PIECES), F.lit(0)).alias("_p"))
+    rows = rows.select("*", F.transform("_p", lambda c: F.char_length(c)).alias("_len"),
+                       F.transform("_p", lambda c, j: F.when(j == 0, F.lit("")).otherwise(F.right(F.get(F.col("_p"), j - 1), F.lit(CONTEXT)))).alias("_tail"))
+    rows = rows.select("*", _blocks(F.col("_len")).alias("_blk"))
     # the sizes are looked at so that the optimizer, seeing two uses, doesn't move these columns into the function, once an element
-    some = (F.size(m) > 0) & (F.size(gaps) > 0) & (F.size(steps) > 0) & (F.size(blocks) >= 0)
-    return F.when(some, F.transform(F.col(m), lambda v, i: F.struct((start(i) + F.get(F.col(gaps), i)).cast("int").alias("start"), v.alias("value")))).otherwise(
-        F.array().cast("array<struct<start:int,value:string>>"))
+    made = (F.size("_len") > 0) & (F.size("_blk") >= 0)
+    return rows.select(*keep, "_p", F.when(made, F.transform("_len", lambda _, j: _before(F.col("_len"), F.col("_blk"), j))).otherwise(F.array().cast("array<int>")).alias("_at"),
+                       F.zip_with("_tail", "_p", lambda t, c: F.concat(t, c)).alias("_near"), F.transform("_tail", lambda t: F.char_length(t)).alias("_lead"))
+
 
+def located(rows: DataFrame, patterns: dict[str, str], suffix: str) -> DataFrame:
+    """Adds for each kind the spans of each piece, from the piece's start: what lies between matches gives their places."""
+    columns = rows.columns
 
-def located(rows: DataFrame, keep: list[str], text: str, patterns: dict[str, str], suffix: str) -> DataFrame:
-    """The kept columns and text with an array of spans for each kind: what lies between matches gives their places."""
-    matches, gaps = _found(text, patterns, suffix)
-    rows = rows.select(*keep, text, *matches, *gaps)
-    rows = rows.select("*", *[_steps(f"{k}_m{suffix}", f"{k}_g{suffix}").alias(f"{k}_s{suffix}") for k in KINDS])
-    rows = rows.select("*", *[_blocks(f"{k}_s{suffix}").alias(f"{k}_b{suffix}") for k in KINDS])
-    spans = [_spans(f"{k}_m{suffix}", f"{k}_s{suffix}", f"{k}_b{suffix}").alias(f"{k}{suffix}") for k in KINDS]
-    rows = rows.select(*keep, text, *spans)
-    ended = [F.transform(f"{k}{suffix}", lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.char_length(x["value"])).alias("end"), x["value"].alias("value"))).alias(f"{k}{suffix}") for k in KINDS]
-    return rows.select(*keep, text, *ended)
+    def matches(k: str) -> Column:
+        return F.transform("_p", lambda c: F.when(c.rlike(NEEDS[k]), F.regexp_extract_all(c, F.lit(patterns[k]), F.lit(0))).otherwise(F.array().cast("array<string>")))
+
+    def gaps(k: str) -> Column:
+        return F.transform("_p", lambda c: F.when(c.rlike(NEEDS[k]), F.transform(F.split(c, patterns[k], -1), lambda g: F.char_length(g))).otherwise(F.array().cast("array<int>")))
+
+    found = [made for k in KINDS for made in (matches(k).alias(f"{k}_m"), gaps(k).alias(f"{k}_g"))]
+    rows = rows.select("*", *found)
+    rows = rows.select("*", *[F.zip_with(f"{k}_m", f"{k}_g", lambda m, g: F.transform(m, lambda v, i: F.get(g, i) + F.char_length(v))).alias(f"{k}_s") for k in KINDS])
+    rows = rows.select("*", *[F.transform(f"{k}_s", _blocks).alias(f"{k}_b") for k in KINDS])
+
+    def spans(z: Column, k: str) -> Column:
+        start = lambda i: _before(z[f"{k}_s"], z[f"{k}_b"], i) + F.get(z[f"{k}_g"], i)
+        placed = F.transform(z[f"{k}_m"], lambda v, i: F.struct(start(i).cast("int").alias("start"), v.alias("value")))
+        return F.transform(placed, lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.char_length(x["value"])).alias("end"), x["value"].alias("value")))
+
+    of_kind = lambda k: F.transform(F.arrays_zip(f"{k}_m", f"{k}_g", f"{k}_s", f"{k}_b"), lambda z: spans(z, k))
+    return rows.select(*columns, *[of_kind(k).alias(f"{k}{suffix}") for k in KINDS])
 
 
 def _digits(v: Column) -> Column:
@@ -132,18 +145,14 @@ def strict(kind: str, v: Column) -> Column:
     return F.lit(True)
 
 
-def _strict_ones(kind: str) -> Column:
-    return F.filter(kind, lambda x: strict(kind, x["value"]))
-
-
-def _shaped(spans: Column, kind: str, text: str, ok: bool) -> Column:
+def _shaped(spans: Column, kind: str, z: Column, ok: bool) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end"),
-                                                 F.lit(ok).alias("strict"), _code(kind, F.col(text), x).alias("code")))
+                                                 F.lit(ok).alias("strict"), _code(kind, z["_near"], z["_lead"], x).alias("code")))
 
 
-def _free(kind: str, own: Column) -> Column:
+def _free(kind: str, loose: Column, own: Column) -> Column:
     """Loose candidates that meet no strict span of their kind."""
-    free = F.filter(f"{kind}_l", lambda x: ~F.exists(own, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    free = F.filter(loose, lambda x: ~F.exists(own, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     return F.filter(free, lambda x: F.char_length(_digits(x["value"])).between(13, 19)) if kind == "card" else free
 
 
@@ -151,12 +160,13 @@ def _of_kind(spans: str, i: int) -> Column:
     return F.filter(spans, lambda x: x["kind"] == i)
 
 
-def _code(kind: str, text: Column, x: Column) -> Column:
+def _code(kind: str, near: Column, lead: Column, x: Column) -> Column:
     """Format and context of a candidate as one number below the product of SIZES."""
-    before, after = F.substring(text, x["start"], F.lit(1)), F.substring(text, x["end"] + 1, F.lit(1))
-    before = F.when(x["start"] == 0, F.lit("")).otherwise(before)
+    start = x["start"] + lead
+    before, after = F.substring(near, start, F.lit(1)), F.substring(near, x["end"] + lead + 1, F.lit(1))
+    before = F.when(start == 0, F.lit("")).otherwise(before)
     side = lambda c: F.when(c.rlike("^[A-Za-z0-9]$"), 2).when(c.rlike(r"^[^\s]$"), 1).otherwise(0)
-    context = F.lower(F.substring(text, F.greatest(F.lit(1), x["start"] - 23), F.least(F.lit(24), x["start"])))
+    context = F.lower(F.substring(near, F.greatest(F.lit(1), start - CONTEXT + 1), F.least(F.lit(CONTEXT), start)))
     bare = F.regexp_replace(x["value"], r"^\+[0-9]{1,3}[\x20.-]", "")  # the local part of a number with a country code
     n = F.char_length(_digits(bare if kind == "phone" else x["value"]))
     digits = F.when(n < 7, 0).when(n < 10, 1).when(n < 12, 2).when(n < 14, 3).when(n < 17, 4).otherwise(5)
@@ -166,16 +176,24 @@ def _code(kind: str, text: Column, x: Column) -> Column:
     return reduce(lambda total, p: total * p[0] + p[1], zip(SIZES, parts), F.lit(0)).cast("int")
 
 
+def by_piece(rows: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """The kept columns with `_p` and `_at` of the pieces and `found` for each: kind, start, end from the piece's start, code and whether the strict rule holds."""
+    rows = located(cut(rows, keep, text), BASE, "")
+    strict_ones = lambda k: F.transform(k, lambda spans: F.filter(spans, lambda x: strict(k, x["value"])))
+    rows = rows.select(*keep, "_p", "_at", "_near", "_lead", *[strict_ones(k).alias(k) for k in KINDS])
+    rows = located(rows, LOOSE, "_l")
+    free_ones = lambda k: F.zip_with(f"{k}_l", k, lambda loose, own: _free(k, loose, own))
+    rows = rows.select(*keep, "_p", "_at", "_near", "_lead", *KINDS, *[free_ones(k).alias(f"{k}_f") for k in KINDS])
+    each = lambda z: F.concat(*[_shaped(z[k], k, z, True) for k in KINDS], *[_shaped(z[f"{k}_f"], k, z, False) for k in KINDS])
+    found = F.transform(F.arrays_zip("_near", "_lead", *KINDS, *[f"{k}_f" for k in KINDS]), lambda z: F.array_sort(each(z)))
+    return rows.select(*keep, "_p", "_at", found.alias("found"))
+
+
 def candidates(rows: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The kept columns and text with `found`: kind, start, end, code and whether the strict rule holds, by start."""
-    rows = located(rows.withColumn(text, whole(text)), keep, text, BASE, "")
-    rows = rows.select(*keep, text, *[_strict_ones(k).alias(k) for k in KINDS])
-    rows = located(rows.withColumn("_base", F.struct(*KINDS)), [*keep, "_base"], text, LOOSE, "_l")
-    each = []
-    for k in KINDS:
-        own = F.col(f"_base.{k}")
-        each += [_shaped(own, k, text, True), _shaped(_free(k, own), k, text, False)]
-    return rows.select(*keep, text, F.array_sort(F.concat(*each)).alias("found"))
+    """The kept columns with `found`: kind, start, end, code and whether the strict rule holds, by start."""
+    moved = F.zip_with("_at", "found", lambda at, piece: F.transform(piece, lambda x: F.struct(
+        (x["start"] + at).alias("start"), x["kind"].alias("kind"), (x["end"] + at).alias("end"), x["strict"].alias("strict"), x["code"].alias("code"))))
+    return by_piece(rows, keep, text).select(*keep, F.flatten(moved).alias("found"))
 
 
 def _parts(code: Column) -> list[Column]:
@@ -213,17 +231,17 @@ def _exploded(found: DataFrame) -> DataFrame:
     return found.select(F.pmod(F.xxhash64("doc_id", F.size("found")), F.lit(HELD_OUT)).alias("fold"), F.explode("found").alias("x")).select("fold", "x.code", "x.strict")
 
 
-def chosen(codes: list[int]) -> Column:
-    """The spans among `found`: all strict ones, and loose ones of accepted codes."""
+def chosen(found: Column, codes: list[int]) -> Column:
+    """The spans among those found: all strict ones, and loose ones of accepted codes."""
     held = F.split(F.lit(",".join(map(str, codes or [-1]))), ",").cast("array<int>")  # a constant
-    return F.filter("found", lambda x: x["strict"] | F.array_contains(held, x["code"]))
+    return F.filter(found, lambda x: x["strict"] | F.array_contains(held, x["code"]))
 
 
 def spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_added of every document."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = pinned(candidates(base, ["doc_id"]).select("doc_id", "found"))  # spans only, far smaller than the texts
-    rows = found.select("doc_id", chosen(accepted(_exploded(found))).alias("all"))
+    rows = found.select("doc_id", chosen(F.col("found"), accepted(_exploded(found))).alias("all"))
     rows = rows.select("doc_id", "all", F.filter("all", lambda x: x["strict"]).alias("base"))
     names = F.array(*map(F.lit, KINDS))
     said = lambda c: F.concat_ws(",", F.transform(c, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))))
@@ -239,17 +257,24 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     counted = pinned(candidates(docs.select("doc_id", F.col(text).alias("text")), ["doc_id"]).select("doc_id", "found"))  # without the texts
     codes = accepted(_exploded(counted))
-    keep = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
-    rows = candidates(keep, ["_row"], "_text").select("_row", "_text", chosen(codes).alias("all"))
-    start = F.struct(F.lit(-1).alias("end"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out"))
-    merged = F.aggregate("all", start, lambda acc, x: F.when(x["start"] >= acc["end"], F.struct(x["end"].alias("end"), F.concat(acc["out"], F.array(F.struct(
-        x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))).alias("out"))).otherwise(F.struct(
-            F.greatest(acc["end"], x["end"]).alias("end"), F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(F.struct(
-                F.element_at(acc["out"], -1)["start"].alias("start"), F.element_at(acc["out"], -1)["kind"].alias("kind"), F.greatest(acc["end"], x["end"]).alias("end")))).alias("out"))),
-        lambda acc: acc["out"])
-    rows = rows.select("_row", "_text", merged.alias("m"))
-    begun = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("m"), i - 1)["end"])
-    pieces = F.transform("m", lambda x, i: F.concat(F.substring(F.col("_text"), begun(i) + 1, x["start"] - begun(i)), F.get(names, x["kind"])))
-    rest = F.substring(F.col("_text"), F.element_at(F.col("m"), -1)["end"] + 1, F.lit(2**31 - 1))
-    new = F.when(F.size("m") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col(f"_row.{text}"))
+    rows = by_piece(docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text")), ["_row"], "_text")
+    empty = F.struct(F.lit(-1).alias("end"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out"))
+    one = lambda start, kind, end: F.array(F.struct(start.alias("start"), kind.alias("kind"), end.alias("end")))
+
+    def put(acc: Column, x: Column) -> Column:
+        """A span behind those before it, or grown into the last one where they meet."""
+        last, end = F.element_at(acc["out"], -1), F.greatest(acc["end"], x["end"])
+        return F.when(x["start"] >= acc["end"], F.struct(x["end"].alias("end"), F.concat(acc["out"], one(x["start"], x["kind"], x["end"])).alias("out"))).otherwise(
+            F.struct(end.alias("end"), F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), one(last["start"], last["kind"], end)).alias("out")))
+
+    def replaced(z: Column) -> Column:
+        begun = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(z["m"], i - 1)["end"])
+        parts = F.transform(z["m"], lambda x, i: F.concat(F.substring(z["_p"], begun(i) + 1, x["start"] - begun(i)), F.get(names, x["kind"])))
+        rest = F.substring(z["_p"], F.element_at(z["m"], -1)["end"] + 1, F.lit(2**31 - 1))
+        return F.when(F.size(z["m"]) > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(z["_p"])
+
+    merged = F.transform("found", lambda piece: F.aggregate(chosen(piece, codes), empty, put, lambda acc: acc["out"]))
+    rows = rows.select("_row", "_p", merged.alias("m"))
+    some = F.exists("m", lambda x: F.size(x) > 0)
+    new = F.when(some, F.array_join(F.transform(F.arrays_zip("_p", "m"), replaced), "")).otherwise(F.col(f"_row.{text}"))
     return rows.select("_row", new.alias("_new")).select(*[F.col("_new").alias(text) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
