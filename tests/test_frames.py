@@ -117,3 +117,17 @@ def test_one_hot_instant(spark):
     queue = occupancy.occupancy(events.withColumn("e", F.lit(10 * HOUR)), "key", "t", "e", "id")
     hot = [r[0] for r in queue.where("id < 1000").orderBy("id").select("occupancy").collect()]
     assert hot == list(range(hot[0], hot[0] + 1000))
+
+
+@pytest.mark.parametrize("form", ["scaled", "fine"])
+def test_frames_only_ever_grow(spark, form):
+    """No window frame slides: with sliding ones each row of a dense key summed its whole frame anew."""
+    df = spark.range(200).select(F.lit("a").alias("key"), (F.col("id") * 7 * S).alias("t"), F.col("id").cast("double").alias("v"))
+    frames = [Frame("trail", "s", -60 * S, 0), Frame("gap", "s", -60 * S, -S), Frame("low", "m", -30 * S, 0), Frame("around", "s", -20 * S, 10 * S),
+              Frame("ahead", "m", 5 * S, 90 * S), Frame("far", "s", -600 * S, -500 * S)]
+    measures = [Measure("s", F.col("v")), Measure("m", F.col("v"), "min")]
+    out = instant_frames(df, ["key"], "t", measures, frames, form=form)
+    assert rows(out) == rows(instant_frames(df, ["key"], "t", measures, frames, form="plain"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    specs = plan.split("specifiedwindowframe(")[1:]
+    assert specs and all(s.split(",")[1].strip().startswith("unboundedpreceding") for s in specs)
