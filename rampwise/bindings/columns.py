@@ -95,13 +95,10 @@ def _documents(spark, d, daily: bool = True, damaged: bool = True):
            CAST(count(DISTINCT CASE WHEN usr % 25 <> 0 THEN usr END) AS BIGINT) AS parsed,
            CAST(count(CASE WHEN usr % 25 <> 0 AND id % 50 <> 0 AND id % 37 <> 0 THEN 1 END) AS BIGINT) AS points FROM ev GROUP BY 1""")
 def src6(spark, d):
-    path = scratch_path(spark, "traces")
     whole = _documents(spark, d, daily=False)
     cut = F.when(F.col("usr") % 25 == 0, F.substring("body", 1, 20)).otherwise(F.col("body"))
-    (whole.select("usr", cut.alias("body")).repartition("usr").write.partitionBy("usr")
-     .option("compression", "gzip").text(path))
+    path = traces.write_traces(whole.select("usr", cut.alias("body")), scratch_path(spark, "traces"), "usr")
     out = traces.scan_traces(spark, path, "*")
-    out = out.where(~F.col("path").endswith("_SUCCESS"))
     points = traces.explode_points(out.where("doc IS NOT NULL")).agg(F.count(F.lit(1))).scalar()
     return out.groupBy("error").agg(F.count(F.lit(1)).alias("files"), F.count("doc").alias("parsed"),
                                     F.when(F.count("doc") > 0, points).otherwise(F.lit(0)).cast("long").alias("points"))

@@ -28,19 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from rampwise.session import send_source
-from rampwise.sources.traces import inflated, parsed
+from rampwise.sources.traces import inflated, opened, parsed
 
 FORMAT = "trace_archive"
 BLOCK, LOOK_BACK, RANGE_BYTES, BATCH_BYTES = 512, 64 << 10, 64 << 20, 8 << 20
 SCHEMA = pa.schema([("path", pa.string()), ("body", pa.string()), ("error", pa.string())])
 
 
-def _opened(path: str) -> tuple[arrow_fs.FileSystem, str]:
-    if path.startswith("file:"):
-        path = "/" + path.removeprefix("file:").lstrip("/")
-    return arrow_fs.FileSystem.from_uri(path)
-
-
 @dataclass
 class ByteRange(InputPartition):
     path: str
@@ -108,7 +102,7 @@ class ArchiveReader(DataSourceReader):
             raise ValueError("rangeBytes must be positive")
 
     def partitions(self) -> list[InputPartition]:
-        system, root = _opened(self.path)
+        system, root = opened(self.path)
         info = system.get_file_info(root)
         if info.type == arrow_fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
@@ -120,7 +114,7 @@ class ArchiveReader(DataSourceReader):
     def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
         if part.low == part.high:
             return
-        system, _ = _opened(self.path)
+        system, _ = opened(self.path)
         rows, held = [], 0
         with system.open_input_file(part.path) as raw, io.BufferedReader(raw, 1 << 20) as file:
             for name, data in members(file, part.low, part.high):
@@ -143,7 +137,7 @@ class ArchiveWriter(DataSourceArrowWriter):
         self.path = options["path"]
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        system, root = _opened(self.path)
+        system, root = opened(self.path)
         name, tar, stream = f"{uuid.uuid4().hex}.tar", None, None
         for batch in batches:
             for row in batch.select(["name", "body"]).to_pylist():
@@ -162,13 +156,13 @@ class ArchiveWriter(DataSourceArrowWriter):
         return Written(name)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        system, root = _opened(self.path)
+        system, root = opened(self.path)
         for m in messages:
             if m is not None and m.name:
                 system.move(f"{root}/_{m.name}", f"{root}/{m.name}")
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        system, root = _opened(self.path)
+        system, root = opened(self.path)
         for m in messages:
             if m is not None and m.name:
                 system.delete_file(f"{root}/_{m.name}")

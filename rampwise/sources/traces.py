@@ -5,12 +5,24 @@ from __future__ import annotations
 import gzip
 import zlib
 from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
 import pandas as pd
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rampwise.session import send_source
+
 GZIP_MAGIC = b"\x1f\x8b"
+#: Folders that written documents are dealt to.
+FOLDERS = 256
+
+
+def opened(path: str) -> tuple[arrow_fs.FileSystem, str]:
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return arrow_fs.FileSystem.from_uri(path)
 
 
 def inflated(raw: bytes) -> tuple[str | None, str | None]:
@@ -29,6 +41,34 @@ def _inflate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"path": batch["path"], "body": [x[0] for x in found], "error": [x[1] for x in found]})
 
 
+def write_traces(docs: DataFrame, path: str, name: str = "name", body: str = "body") -> str:
+    """A gzipped file without extension for each document, `doc=<name>`, dealt to FOLDERS folders by its name; a null body is an empty document.
+
+    Tasks write their files in place, so nothing is moved file by file on the driver; a task that runs again replaces its own files.
+    """
+    send_source(docs.sparkSession)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, root = opened(path)
+        made: set[str] = set()
+        for batch in batches:
+            for folder, own, text in zip(batch["folder"], batch["name"], batch["body"]):
+                if folder not in made:
+                    system.create_dir(f"{root}/{folder}", recursive=True)
+                    made.add(folder)
+                with system.open_output_stream(f"{root}/{folder}/doc={quote(own, safe='')}") as file:
+                    file.write(gzip.compress((text or "").encode(), mtime=0))
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    named = F.coalesce(F.col(name).cast("string"), F.lit("null"))
+    folder = F.format_string("part=%03d", F.pmod(F.xxhash64(named), F.lit(FOLDERS)))
+    rows = docs.select(folder.alias("folder"), named.alias("name"), F.col(body).alias("body"))
+    system, root = opened(path)
+    system.create_dir(root, recursive=True)
+    rows.repartition(FOLDERS, "folder").mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    return path
+
+
 def scan_traces(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """(path, doc, error): a document that cannot be inflated or parsed has a null doc and says why."""
     raw = (spark.read.format("binaryFile").option("pathGlobFilter", pattern)

@@ -102,3 +102,17 @@ def test_reach_below_the_width_loses_no_pair(spark):
     assert rows(got, "id", "rid") == want
     spread = match._spread(right.where("at IS NOT NULL"), F.col("at"), 600, 90, "slot")
     assert spread.count() < 1.6 * right.count()
+
+
+def test_written_trace_documents_come_back(spark, tmp_path):
+    """A file for each document in a bounded number of folders, without a column's folder for each."""
+    bodies = {f"n {i}/ü%": json.dumps({"icao": str(i), "trace": []}) for i in range(600)} | {"none": None, "cut": '{"icao":'}
+    held = spark.createDataFrame(list(bodies.items()) + [(None, "{}")], "usr string, body string")
+    path = traces.write_traces(held, f"file:{tmp_path}/made", "usr")
+    traces.write_traces(held, path, "usr")  # a job that runs again replaces its own files
+    docs = traces.scan_traces(spark, path, "*")
+    assert docs.groupBy("error").count().orderBy("error").collect() == [(None, 601), ("malformed", 2)]
+    assert docs.agg(F.countDistinct(F.try_variant_get("doc", "$.icao", "string"))).first()[0] == 600
+    assert len(list((tmp_path / "made").iterdir())) <= traces.FOLDERS
+    empty = traces.write_traces(held.where("false"), f"{tmp_path}/empty", "usr")
+    assert traces.scan_traces(spark, empty, "*").count() == 0
