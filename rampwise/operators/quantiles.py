@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rampwise.operators.scan import running_sums
+from rampwise.operators.scan import PAST, running_sums
 from rampwise.session import pinned
 
 
@@ -32,21 +32,24 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
     names = list(probs)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(known("_v"))
     counts = _in_ranges(rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")), *[F.col(k) for k in keys], F.col("_v"))
-    for k in keys:  # null is a group too, but never equal in a join
-        counts = counts.withColumn(f"_k{k}", F.struct(F.col(k)))
-    group = [f"_k{k}" for k in keys]
-    upto = running_sums(counts, group, "_block", ["_v"], ["_c"])
-    if keys:
-        upto = upto.join(counts.groupBy(*group).agg(F.sum("_c").alias("n")), group)
-    else:
-        upto = upto.withColumn("n", counts.agg(F.sum("_c")).scalar())
+    group = ["_k"] if keys else []  # null is a group too, but only as part of a struct equal in a join
+    counts = counts.select(*[F.struct(*keys).alias(k) for k in group], "_block", "_v", "_c")
+    # One small row per group and range brings what lies before the range and the group's size at once.
+    totals = counts.groupBy(*group, "_block").agg(F.sum("_c").alias("_t"))
+    whole = Window.partitionBy(*group)
+    placed = totals.select(*group, "_block", F.sum("_t").over(whole).alias("n"),
+                           F.coalesce(F.sum("_t").over(whole.orderBy("_block").rowsBetween(PAST, -1)), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*group, "_block").orderBy("_v").rowsBetween(PAST, 0)
+    local = counts.withColumn("_in", F.sum("_c").over(inside))
+    upto = local.join(placed, [*group, "_block"]).withColumn("run__c", F.col("_in") + F.col("_before"))
     made: list[Column] = []
     for q in names:
         place = F.lit(float(probs[q])) * (F.col("n") - 1)
         at = lambda k: F.max(F.when((F.col("run__c") > k) & (F.col("run__c") - F.col("_c") <= k), F.col("_v")))
         a, b, part = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
         made.append((a + (b - a) * part).alias(q))
-    return upto.groupBy(*keys).agg(F.max("n").alias("n"), *made).where("n IS NOT NULL")
+    found = upto.groupBy(*group).agg(F.max("n").alias("n"), *made).where("n IS NOT NULL")
+    return found.select(*[F.col("_k")[k].alias(k) for k in keys], "n", *names)
 
 
 def quantile_levels(df: DataFrame, levels: Sequence[Sequence[str]], value: str, probs: Mapping[str, float]) -> list[DataFrame]:

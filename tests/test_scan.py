@@ -66,3 +66,15 @@ def test_ordered_distribution(spark, data):
     want = e.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("s")).select(
         "k", "n", "s", F.sum("n").over(w).alias("run_n"), F.sum("s").over(w).alias("run_s"))
     assert rows(got) == rows(want)
+
+
+def test_quantiles_take_one_join_and_cut_groups_anywhere(spark):
+    """A group that many ranges share, groups of null keys, and a single join for what lies before a range and a group's size."""
+    hot = [("h", None, float(i % 700)) for i in range(3000)]
+    few = [(None, 1, 4.0), (None, 1, 6.0), (None, None, 1.0), ("h", 1, float("nan")), ("h", 1, None), ("h", 1, 2.0)]
+    df = spark.createDataFrame(hot + few, "a string, b int, v double")
+    made = exact_quantiles(df, ["a", "b"], "v", {"m": 0.5, "top": 1.0})
+    assert made.columns == ["a", "b", "n", "m", "top"]
+    mid = sorted(v for _, _, v in hot)[1499:1501]
+    assert {tuple(r) for r in made.collect()} == {("h", None, 3000, sum(mid) / 2, 699.0), (None, 1, 2, 5.0, 6.0), (None, None, 1, 1.0, 1.0), ("h", 1, 1, 2.0, 2.0)}
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
