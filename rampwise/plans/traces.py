@@ -11,7 +11,7 @@ from rampwise.functions import scalars as S
 from rampwise.operators import groups, match, occupancy, segments, setops, trailing
 from rampwise.operators.quantiles import medians
 from rampwise.operators.sites import site_join
-from rampwise.session import pinned
+from rampwise.session import pinned, written
 from rampwise.sources.traces import explode_points
 
 SCHEMA_VERSION = 3
@@ -55,6 +55,8 @@ def segments_of_documents(docs: DataFrame, sites: Mapping[str, tuple[float, floa
     A document is an entity: runs never go on from one into the next. Documents that could not be read have no points.
     """
     points = explode_points(docs.where(F.col("doc").isNotNull()), keep=("path",)).withColumnRenamed("path", "entity")
+    # The windows of the runs, the later names and the craft read the points: documents are read and parsed once.
+    points = written(points, "points")
     craft = points.groupBy("entity").agg(*[F.max(c).alias(c) for c in ("hex", "actype", "reg")])
     runs = ground_segments(points, sites, **options).join(craft, "entity", "left")
     return runs.withColumn("seg_id", F.concat_ws("#", "entity", F.col("seg").cast("string")))

@@ -123,3 +123,20 @@ def test_documents_to_segments_to_departures(spark, tmp_path):
     assert dep.first()["flt"] is None and dep.first()["day"] == 1
     assert [r["kind"] for r in traces.match_traces(dep, seg).collect()] == [1]
     assert traces.match_traces(dep.withColumn("cs", F.lit("abc12 ")), seg).count() == 1
+
+
+def test_documents_are_read_once(spark):
+    """However many steps need the points, what reads the documents runs once over each."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    ground = '"ground"'
+    body = lambda i: '{"icao":"h%d","timestamp":0,"trace":[%s]}' % (i, ",".join(f'[{t},50.0,8.0,{ground},{t},90,0,null,{{"flight":"A{i}"}}]' for t in (0, 60, 120)))
+    texts = spark.createDataFrame([(str(i), body(i)) for i in range(7)], "path string, body string").mapInPandas(counted, "path string, body string")
+    seg = traces.segments_of_documents(texts.select("path", F.try_parse_json("body").alias("doc")), {"X": (50.0, 8.0)})
+    assert rows(seg, "entity", "hex", "callsign", "n_ground") == [(str(i), f"h{i}", f"A{i}", 3) for i in range(7)]
+    assert seen.value == 7
