@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rampwise.llm.common import digest, mix, powers, row_hash, slices, text_bytes, whole
+from rampwise.llm.common import digest, mix, pieces, powers, row_hash, slices, text_bytes, whole
 from rampwise.llm.suffixes import suffix_array
 
-LENGTH, GRAM, BLOCK, MOST, BATCH = 200, 32, 40, 2_000, 20_000
+LENGTH, GRAM, BLOCK, MOST, BATCH, WINDOWS = 200, 32, 40, 2_000, 20_000, 500_000
 _BYTES = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -143,30 +143,54 @@ def repeated_starts(anchors: np.ndarray, offsets: np.ndarray, texts: list[bytes]
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST, text: str = "text", keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document; with `keep_text` also the bytes left."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(text).alias("h"), whole(text).alias("text"))
+    # a row's key has no null, so that what is grouped by it is dealt as the joins need it; the hash tells a null id from 0
+    id = F.col("doc_id").cast("long")
+    h = F.when(id.isNull(), F.bitwise_not(row_hash(text))).otherwise(row_hash(text))
+    base = docs.select(id.alias("doc_id"), h.alias("h"), whole(text).alias("text"))
+
+    def on_key(some: DataFrame, how: str) -> DataFrame:
+        """Texts with what some tell of their keys; all such joins deal the same columns, so texts are shuffled once."""
+        some = some.withColumnRenamed("h", "k")
+        return base.join(some, (F.coalesce(base.doc_id, F.lit(0)) == some.id) & (base.h == some.k), how)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, hs = batch.column("doc_id"), batch.column("h")
+        for batch in pieces(batches):
+            ids, hs = batch.column("id"), batch.column("h")
             for lo, t, first, last, anchor, g in runs(text_bytes(batch.column("text")), length):
                 at = pa.array(t + lo)
-                yield pa.RecordBatch.from_arrays([ids.take(at), hs.take(at), *map(pa.array, (g, first, last, anchor))], names=["doc_id", "h", "g", "first", "last", "anchor"])
+                yield pa.RecordBatch.from_arrays([ids.take(at), hs.take(at), pa.array(g), pa.array((first * length + last - first) * length + anchor - first)], names=["id", "h", "g", "run"])
 
-    found = base.mapInArrow(anchors, "doc_id long, h long, g long, first long, last long, anchor long")
+    # a run is one number: its first window, how many more it has and how far its anchor is
+    found = base.select(F.coalesce("doc_id", F.lit(0)).alias("id"), "h", "text").mapInArrow(anchors, "id long, h long, g long, run long")
     counts = found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
-    lists = found.join(counts, "g").groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "last", "anchor", "g", (F.col("n") > most).alias("hot"))).alias("runs"))
-    lists = lists.select(F.col("doc_id").alias("d"), F.col("h").alias("k"), "runs")
-    texts = base.join(lists, base.doc_id.eqNullSafe(F.col("d")) & (base.h == F.col("k"))).select("doc_id", "h", "text", "runs")
+    lists = found.join(counts, "g").select("id", "h", "g", "run", (F.col("n") > most).alias("hot")).repartition("id", "h").groupBy("id", "h").agg(
+        F.collect_set(F.struct("g", "run", "hot")).alias("runs"))
+
+    def with_runs(hot: bool) -> DataFrame:
+        some = F.transform(F.filter("runs", lambda r: r["hot"] == F.lit(hot)), lambda r: F.struct(r["g"].alias("g"), r["run"].alias("run")))
+        return on_key(lists.select("id", "h", some.alias("runs")).where(F.size("runs") > 0), "inner").select("id", "h", "text", "runs")
+
+    def opened(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+        """Of about `most` bytes of a batch's runs at a time: their rows, anchors' hashes, first windows, numbers of windows, the anchors' places in their bytes, and these."""
+        g, run = (x.to_numpy() for x in batch.column("runs").flatten().flatten())
+        own = np.repeat(np.arange(batch.num_rows), batch.column("runs").value_lengths().to_numpy())
+        run, offset = np.divmod(run, length)
+        first, more = np.divmod(run, length)
+        texts = text_bytes(batch.column("text"))
+        part = np.cumsum(more + length) // most
+        ends = np.flatnonzero(np.concatenate([part[1:] != part[:-1], [len(part) > 0]])) + 1
+        for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            s = slice(lo, hi)
+            yield pa.array(own[s]), g[s], first[s], more[s] + 1, offset[s], [texts[i][a: b] for i, a, b in zip(own[s].tolist(), first[s].tolist(), (first + more + length)[s].tolist())]
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "h", "g", "first", "offset", "hot", "bytes"]
-        for batch in batches:
-            for i, h, t, own in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), text_bytes(batch.column("text")), batch.column("runs").to_pylist()):
-                rows = [(i, h, r["g"], r["first"], r["anchor"] - r["first"], r["hot"], t[r["first"]: r["last"] + length]) for r in own]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], names=names)
+        for batch in pieces(batches):
+            for own, g, first, _, offset, cut in opened(batch):
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(own), batch.column("h").take(own), *map(pa.array, (g, first, offset)), pa.array(cut, pa.binary())],
+                                                 names=["id", "h", "g", "first", "offset", "bytes"])
 
-    kinds = "doc_id long, h long, g long, first long, offset long, hot boolean, bytes binary"
-    marks = "doc_id long, h long, first long, mask binary"
+    kinds = "id long, h long, g long, first long, offset long, bytes binary"
+    marks = "id long, h long, first long, mask binary"
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come in order of g; a batch ends where g changes."""
@@ -177,7 +201,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST, tex
             at = pa.array(use, pa.int64())
             mask = pa.array([np.packbits(hits[i]).tobytes() for i in use], pa.binary())
             pick = lambda c: t[c].take(at).combine_chunks()
-            return pa.RecordBatch.from_arrays([pick("doc_id"), pick("h"), pick("first"), mask], names=["doc_id", "h", "first", "mask"])
+            return pa.RecordBatch.from_arrays([pick("id"), pick("h"), pick("first"), mask], names=["id", "h", "first", "mask"])
 
         held: pa.Table | None = None
         for batch in batches:
@@ -193,48 +217,63 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST, tex
         if held is not None and held.num_rows:
             yield solved(held)
 
-    made = texts.mapInArrow(contexts, kinds)
-    few = made.where("NOT hot").select("doc_id", "h", "g", "first", "offset", "bytes").repartition("g").sortWithinPartitions("g").mapInArrow(compare, marks)
+    few = with_runs(False).mapInArrow(contexts, kinds).repartition("g").sortWithinPartitions("g").mapInArrow(compare, marks)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Distinct windows of each batch with their count and one place."""
-        for batch in batches:
-            own, keys, starts = [], [], []
-            for i, (g, first, t) in enumerate(zip(batch.column("g").to_pylist(), batch.column("first").to_pylist(), batch.column("bytes").to_pylist())):
-                w = mix(rolling(np.frombuffer(t, np.uint8), length) ^ mix(np.array([g]).astype(np.uint64)))
-                own.append(np.full(len(w), i)), keys.append(w), starts.append(first + np.arange(len(w)))
-            if not keys:
-                continue
-            w, one, n = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
-            at = pa.array(np.concatenate(own)[one])
-            yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int64)), pa.array(n), batch.column("doc_id").take(at), batch.column("h").take(at), pa.array(np.concatenate(starts)[one])], names=["w", "n", "doc_id", "h", "start"])
+        """Distinct windows of about WINDOWS ones with their count and one place."""
+
+        def told(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            w, ids, hs, starts = (np.concatenate(x) for x in zip(*held))
+            w, one, n = np.unique(w, return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (w.view(np.int64), n, ids[one], hs[one], starts[one])], names=["w", "n", "id", "h", "start"])
 
-    hot = made.where("hot").select("doc_id", "h", "g", "first", "bytes")
-    once = hot.mapInArrow(windows, "w long, n long, doc_id long, h long, start long").groupBy("w").agg(
-        F.sum("n").alias("n"), F.min(F.struct("doc_id", "h", "start")).alias("x")).where("n = 1").select("x.doc_id", "x.h", "x.start")
+        held, size = [], 0
+        for batch in pieces(batches):
+            ids, hs = (batch.column(c).to_numpy() for c in ("id", "h"))
+            for own, g, first, n, _, cut in opened(batch):
+                begins = np.cumsum([0, *map(len, cut[:-1])])
+                run = np.repeat(np.arange(len(cut)), n)
+                start = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+                w = mix(rolling(np.frombuffer(b"".join(cut), np.uint8), length)[begins[run] + start] ^ mix(g.astype(np.uint64))[run])
+                at = own.to_numpy()[run]
+                held.append((w, ids[at], hs[at], first[run] + start))
+                size += len(w)
+                if size >= WINDOWS:
+                    yield told(held)
+                    held, size = [], 0
+        if held:
+            yield told(held)
+
+    once = with_runs(True).mapInArrow(windows, "w long, n long, id long, h long, start long").groupBy("w").agg(
+        F.sum("n").alias("n"), F.min(F.struct("id", "h", "start")).alias("x")).where("n = 1").select("x.id", "x.h", "x.start")
     # hot runs count as repeated but for the windows that come once
-    hot_runs = texts.select("doc_id", "h", F.explode(F.filter("runs", lambda r: r["hot"])).alias("r")).select("doc_id", "h", F.col("r.first").alias("first"), F.col("r.last").alias("last")).distinct()
+    hot_runs = lists.select("id", "h", F.explode(F.filter("runs", lambda r: r["hot"])).alias("r")).select(
+        "id", "h", F.expr(f"r.run div {length * length}").alias("first"), F.expr(f"r.run div {length * length} + r.run div {length} % {length}").alias("last"))
     none = F.lit(None)
-    all_marks = few.select("doc_id", "h", F.struct(F.col("first"), none.cast("long").alias("last"), "mask").alias("m")).unionByName(
-        hot_runs.select("doc_id", "h", F.struct("first", "last", none.cast("binary").alias("mask")).alias("m"))).unionByName(
-        once.select("doc_id", "h", F.struct(F.col("start").alias("first"), F.lit(-1).cast("long").alias("last"), none.cast("binary").alias("mask")).alias("m")))
-    per_row = all_marks.groupBy("doc_id", "h").agg(F.collect_set("m").alias("marks")).select(F.col("doc_id").alias("d"), F.col("h").alias("k"), "marks")
-    rows = base.join(per_row, base.doc_id.eqNullSafe(F.col("d")) & (base.h == F.col("k")), "left").select("doc_id", "text", "marks")
+    all_marks = few.select("id", "h", F.struct(F.col("first"), none.cast("long").alias("last"), "mask").alias("m")).unionByName(
+        hot_runs.select("id", "h", F.struct("first", "last", none.cast("binary").alias("mask")).alias("m"))).unionByName(
+        once.select("id", "h", F.struct(F.col("start").alias("first"), F.lit(-1).cast("long").alias("last"), none.cast("binary").alias("mask")).alias("m")))
+    per_row = all_marks.repartition("id", "h").groupBy("id", "h").agg(F.collect_set("m").alias("marks"))
+    rows = on_key(per_row, "left").select("doc_id", "text", "marks")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for i, t, own in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), batch.column("marks").to_pylist()):
+        for batch in pieces(batches):
+            out, own = [], batch.column("marks")
+            ends = np.cumsum(own.value_lengths().fill_null(0).to_numpy()).tolist()
+            firsts, lasts, masks = own.flatten().flatten()
+            firsts, lasts, masked = firsts.to_numpy(), lasts.fill_null(-2).to_numpy(), masks.is_valid().to_numpy(zero_copy_only=False)
+            for i, t, lo, hi in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), [0, *ends[:-1]], ends):
+                first, last, is_mask = firsts[lo:hi], lasts[lo:hi], masked[lo:hi]
                 start = np.zeros(max(0, len(t) - length + 1), bool)
-                for m in own or []:
-                    if m["mask"] is not None:
-                        bits = np.unpackbits(np.frombuffer(m["mask"], np.uint8)).astype(bool)[: len(start) - m["first"]]
-                        start[m["first"]: m["first"] + len(bits)] |= bits
-                    elif m["last"] >= 0:
-                        start[m["first"]: m["last"] + 1] = True
-                for m in own or []:
-                    if m["mask"] is None and m["last"] < 0:
-                        start[m["first"]] = False
+                if (run := last >= 0).any():
+                    cover = np.zeros(len(start) + 1, np.int64)
+                    np.add.at(cover, first[run], 1)
+                    np.add.at(cover, last[run] + 1, -1)
+                    start = np.cumsum(cover[:-1]) > 0
+                for at in np.flatnonzero(is_mask).tolist():
+                    bits = np.unpackbits(np.frombuffer(masks[lo + at].as_py(), np.uint8)).astype(bool)[: len(start) - first[at]]
+                    start[first[at]: first[at] + len(bits)] |= bits
+                start[first[last == -1]] = False
                 edge = np.zeros(len(t) + 1, np.int64)
                 at = np.flatnonzero(start)
                 edge[at] += 1
@@ -242,7 +281,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST, tex
                 gone = np.cumsum(edge[:-1]) > 0
                 left = np.frombuffer(t, np.uint8)[~gone].tobytes()
                 spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                out.append((i, len(t), int(gone.sum()), spans, digest(left), left))
+                out.append((i, len(t), int(gone.sum()), spans, digest(left), left if keep_text else None))
             cols = [pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + keep_text]
             if out:

@@ -7,12 +7,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rampwise.llm import bpe, decontaminate, jaccard, language, pii, quality, repeats, sharding, tokens, warc
-from rampwise.llm.common import read, ship
+from rampwise.llm.common import pieces, read, ship
 from rampwise.llm.suffixes import suffix_array
 from rampwise.session import scratch_path
 
@@ -445,3 +446,34 @@ def test_language_fusion_equals_a_plain_posterior(spark, monkeypatch):
         assert len(got) == len(want)
         for a, b in zip(sorted(got), sorted(want)):
             assert a[:2] == b[:2] and a[3] == b[3] and abs(a[2] - b[2]) < 3e-5
+
+
+def test_pieces_bound_what_python_holds():
+    """A batch of any size leaves in slices of bounded text, all its rows in order; nulls count as empty, a longer text stands alone."""
+    texts = ["x" * 300, None, "", "é" * 100, "y" * 5_000, "z" * 10, None] + ["w" * 99] * 500
+    batch = pa.RecordBatch.from_pydict({"text": texts, "i": list(range(len(texts)))})
+    got = list(pieces([batch.slice(0, 0), batch, batch.slice(2, 3)], most=1_000))
+    assert [i for p in got for i in p.column("i").to_pylist()] == [*range(len(texts)), 2, 3, 4]
+    assert [t for p in got for t in p.column("text").to_pylist()] == texts + texts[2:5]
+    sizes = [sum(len((t or "").encode()) for t in p.column("text").to_pylist()) for p in got]
+    assert all(s <= 1_000 or p.num_rows == 1 for s, p in zip(sizes, got)) and len(got) < 70
+
+
+def test_repeats_of_rows_without_id(spark):
+    """A null id isn't 0, nor are two texts of one id one; hot and other anchors, in one batch or several pieces."""
+    rng = random.Random(5)
+    some = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (700, 450, 450)]
+    rows = [(None, some[0]), (0, some[0][100:] + some[1]), (0, some[1]), (None, some[2]), (0, some[2][:199]), (3, None), (3, "q"), (7, "v" * 300_000)]
+    times = Counter(t[s: s + 200] for _, t in rows if t and len(t) < 10**6 for s in range(len(t) - 199))
+    want = []
+    for i, t in rows[:-1]:
+        gone = bytearray(len(t or ""))
+        for s in range(len(gone) - 199):
+            if times[t[s: s + 200]] > 1:
+                gone[s: s + 200] = b"\1" * 200
+        left = "".join(x for x, g in zip(t or "", gone) if not g)
+        want.append((i, len(gone), sum(gone), hashlib.sha256(left.encode()).hexdigest()))
+    want.append((7, 300_000, 300_000, hashlib.sha256(b"").hexdigest()))
+    d = ship(spark).createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for most in (2_000, 1):
+        same(repeats.without_repeats(d, most=most), want, "doc_id", "n_bytes", "n_removed", "kept_sha256")
