@@ -246,34 +246,35 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST, tex
 
     once = with_runs(True).mapInArrow(windows, "w long, n long, id long, h long, start long").groupBy("w").agg(
         F.sum("n").alias("n"), F.min(F.struct("id", "h", "start")).alias("x")).where("n = 1").select("x.id", "x.h", "x.start")
-    # hot runs count as repeated but for the windows that come once
-    hot_runs = lists.select("id", "h", F.explode(F.filter("runs", lambda r: r["hot"])).alias("r")).select(
-        "id", "h", F.expr(f"r.run div {length * length}").alias("first"), F.expr(f"r.run div {length * length} + r.run div {length} % {length}").alias("last"))
-    none = F.lit(None)
-    all_marks = few.select("id", "h", F.struct(F.col("first"), none.cast("long").alias("last"), "mask").alias("m")).unionByName(
-        hot_runs.select("id", "h", F.struct("first", "last", none.cast("binary").alias("mask")).alias("m"))).unionByName(
-        once.select("id", "h", F.struct(F.col("start").alias("first"), F.lit(-1).cast("long").alias("last"), none.cast("binary").alias("mask")).alias("m")))
-    per_row = all_marks.repartition("id", "h").groupBy("id", "h").agg(F.collect_set("m").alias("marks"))
-    rows = on_key(per_row, "left").select("doc_id", "text", "marks")
+    # hot runs count as repeated but for the windows that come once; a row's stay one list
+    hot_runs = lists.select("id", "h", F.transform(F.filter("runs", lambda r: r["hot"]), lambda r: r["run"]).alias("hot")).where(F.size("hot") > 0)
+    none, no_hot = F.lit(None), F.lit(None).cast("array<long>").alias("hot")
+    all_marks = few.select("id", "h", F.struct("first", "mask").alias("m"), no_hot).unionByName(
+        once.select("id", "h", F.struct(F.col("start").alias("first"), none.cast("binary").alias("mask")).alias("m"), no_hot)).unionByName(
+        hot_runs.select("id", "h", none.cast("struct<first:long,mask:binary>").alias("m"), "hot"))
+    per_row = all_marks.repartition("id", "h").groupBy("id", "h").agg(F.collect_set("m").alias("marks"), F.first("hot", ignorenulls=True).alias("hot"))
+    rows = on_key(per_row, "left").select("doc_id", "text", "marks", "hot")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            out, own = [], batch.column("marks")
-            ends = np.cumsum(own.value_lengths().fill_null(0).to_numpy()).tolist()
-            firsts, lasts, masks = own.flatten().flatten()
-            firsts, lasts, masked = firsts.to_numpy(), lasts.fill_null(-2).to_numpy(), masks.is_valid().to_numpy(zero_copy_only=False)
-            for i, t, lo, hi in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), [0, *ends[:-1]], ends):
-                first, last, is_mask = firsts[lo:hi], lasts[lo:hi], masked[lo:hi]
+            out, own, hot = [], batch.column("marks"), batch.column("hot")
+            ends, hot_ends = (np.cumsum(c.value_lengths().fill_null(0).to_numpy()).tolist() for c in (own, hot))
+            firsts, masks = own.flatten().flatten()
+            firsts, masked = firsts.to_numpy(), masks.is_valid().to_numpy(zero_copy_only=False)
+            hots = hot.flatten().to_numpy()
+            for i, t, lo, hi, a, b in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), [0, *ends[:-1]], ends, [0, *hot_ends[:-1]], hot_ends):
+                first, is_mask = firsts[lo:hi], masked[lo:hi]
                 start = np.zeros(max(0, len(t) - length + 1), bool)
-                if (run := last >= 0).any():
+                if b > a:
+                    begin, more = np.divmod(hots[a:b] // length, length)
                     cover = np.zeros(len(start) + 1, np.int64)
-                    np.add.at(cover, first[run], 1)
-                    np.add.at(cover, last[run] + 1, -1)
+                    np.add.at(cover, begin, 1)
+                    np.add.at(cover, begin + more + 1, -1)
                     start = np.cumsum(cover[:-1]) > 0
                 for at in np.flatnonzero(is_mask).tolist():
                     bits = np.unpackbits(np.frombuffer(masks[lo + at].as_py(), np.uint8)).astype(bool)[: len(start) - first[at]]
                     start[first[at]: first[at] + len(bits)] |= bits
-                start[first[last == -1]] = False
+                start[first[~is_mask]] = False
                 edge = np.zeros(len(t) + 1, np.int64)
                 at = np.flatnonzero(start)
                 edge[at] += 1

@@ -477,3 +477,25 @@ def test_repeats_of_rows_without_id(spark):
     d = ship(spark).createDataFrame(rows, "doc_id long, text string").coalesce(1)
     for most in (2_000, 1):
         same(repeats.without_repeats(d, most=most), want, "doc_id", "n_bytes", "n_removed", "kept_sha256")
+
+
+def test_hot_runs_stay_one_list(spark):
+    """The runs of a common passage aren't made rows of their own, and each row gets back its windows that come once."""
+    rng = random.Random(9)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(600))
+    rows = [(i % 30, "".join(rng.choice("abcdefgh ") for _ in range(250)) + line + "".join(rng.choice("abcdefgh ") for _ in range(250))) for i in range(40)]
+    rows += rows[:3] + [(None, line), (50, None)]
+    times = Counter(t[s: s + 200] for _, t in rows if t for s in range(len(t) - 199))
+    want = []
+    for i, t in rows:
+        gone = bytearray(len(t or ""))
+        for s in range(len(gone) - 199):
+            if times[t[s: s + 200]] > 1:
+                gone[s: s + 200] = b"\1" * 200
+        left = "".join(x for x, g in zip(t or "", gone) if not g)
+        want.append((i, len(gone), sum(gone), hashlib.sha256(left.encode()).hexdigest()))
+    d = ship(spark).createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for most in (2_000, 20, 1):
+        got = repeats.without_repeats(d, most=most)
+        assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+        same(got, want, "doc_id", "n_bytes", "n_removed", "kept_sha256")
